@@ -5,17 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumgrid.llm import lookalike
+from vellumgrid.llm import garble, lookalike, quality
 from vellumgrid.runtime import load, spread
 
+#: at most so many clean samples are brought to the driver to fit a model
+MAX_SAMPLES = 20_000
+
+
+def sample_texts(spark: SparkSession, d: str) -> list[tuple[str, str]]:
+    """(lang, text) of lang_samples, a table of fixed size; MAX_SAMPLES bounds it."""
+    rows = load(spark, d, "lang_samples").select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
+    return [(r[0], r[1]) for r in rows.orderBy("lang", "text").limit(MAX_SAMPLES).collect()]
+
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     rows = spread(load(spark, d, "elements").select("elem_id", "text"))
     return lookalike.look_alike_pairs_of(rows, "elem_id", "text").select(F.col("a").alias("elem_id_a"), F.col("b").alias("elem_id_b"))
 
 
+def quality_rules(spark: SparkSession, d: str) -> tuple[list[str], quality.RuleList]:
+    common = quality.common_words(load(spark, d, "common_words"))
+    return common, quality.fit(spark, load(spark, d, "lang_samples"), common, max_samples=MAX_SAMPLES)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    common, rules = quality_rules(spark, d)
+    rows = spread(load(spark, d, "elements").select("elem_id", "label", "text").where("label = 'Text' AND text <> ''"))
+    return quality.with_kind(rows, "text", common, rules, keep=False).where("text_kind <> 'prose'").select("elem_id").distinct()
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    model = garble.fit([t for _, t in sample_texts(spark, d)])
+    rows = spread(load(spark, d, "elements").select("elem_id", "text"))
+    return garble.with_repair(rows, "text", model).where("chain IS NOT NULL").select("elem_id").distinct()
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found}
 
 
 def oracle_sql() -> dict[str, str]:
