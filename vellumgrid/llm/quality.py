@@ -284,7 +284,7 @@ def labelled_documents(samples: pd.DataFrame, per_kind: int = 900, seed: int = 1
             form = rng.choice(("{}. ", "{}) ", "({}) "))
             t = "\n".join(form.format(k + 1) + i for k, i in enumerate(items))
         elif kind == 2:
-            t = rng.choice((", ", "; ")).join(rng.choice(ws) for _ in range(rng.randint(6, 18)))
+            t = rng.choice((", ", "; ", " | ", " / ", " · ")).join(rng.choice(items) if rng.random() < 0.5 else rng.choice(ws) for _ in range(rng.randint(4, 18)))
         elif kind == 3:
             t = "; ".join(f"{rng.choice(ws)}, {', '.join(str(rng.randint(1, 400)) for _ in range(rng.randint(1, 4)))}" for _ in items)
         elif kind == 4:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumgrid.llm import garble, lookalike, quality
+from vellumgrid.llm import garble, language, lookalike, quality, residue, splitting
 from vellumgrid.runtime import load, spread
 
 #: at most so many clean samples are brought to the driver to fit a model
@@ -40,9 +40,67 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return garble.with_repair(rows, "text", model).where("chain IS NOT NULL").select("elem_id").distinct()
 
 
+#: labels of running text, in both spellings
+RUNNING = ("Text", "ListItem", "List-Item", "Footnote")
+
+
+def running_texts(spark: SparkSession, d: str, *columns: str, where: str = "true") -> DataFrame:
+    """Elements of running text that are no p2 case, with text_kind."""
+    common, rules = quality_rules(spark, d)
+    rows = load(spark, d, "elements").where(F.col("label").isin(*RUNNING)).where(f"text <> '' AND ({where})").select("elem_id", "label", "text", *columns)
+    kind = quality.with_kind(spread(rows), "text", common, rules, keep=False)
+    return kind.where("text_kind IS NOT NULL AND (label <> 'Text' OR text_kind = 'prose')")
+
+
+def p4_languages(spark: SparkSession, d: str) -> DataFrame:
+    samples = sample_texts(spark, d)
+    rows = running_texts(spark, d, "lang")
+    return language.with_language(rows, "text", language.fit(samples), garble.fit([t for _, t in samples]))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    judged = p4_languages(spark, d).select("elem_id", "lang", F.array_distinct(F.transform("passages", lambda p: p["language"])).alias("langs"))
+    one = F.size("langs") == 1
+    wrong = ~F.coalesce(language.named_language(F.col("lang")) == F.element_at("langs", 1), F.lit(False))
+    return judged.where((one & wrong) | (F.size("langs") > 1)).select("elem_id", F.explode("langs").alias("lang")).distinct()
+
+
+def limits(spark: SparkSession, d: str) -> dict[str, tuple[int, int]]:
+    return {r[0]: (r[1], r[2]) for r in load(spark, d, "split_limits").select("item_kind", "max_chars", "overlap_chars").limit(1000).collect()}
+
+
+def split_input(spark: SparkSession, d: str) -> DataFrame:
+    elements = load(spark, d, "elements").select(F.lit("element").alias("item_kind"), F.col("elem_id").alias("item_id"), F.array("text").alias("parts"))
+    pages = load(spark, d, "pdf_layouts").select(F.lit("page").alias("item_kind"), F.col("export_id").alias("item_id"), F.col("layouts.text").alias("parts"))
+    return elements.unionByName(pages)
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_items(split_input(spark, d), limits(spark, d)).where("n_pieces > 1").distinct()
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_items(split_input(spark, d), limits(spark, d)).where("n_pieces > 1").select("item_kind", "item_id").distinct()
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(load(spark, d, "documents"), "doc_id", "text", "source").select(F.col("id").alias("doc_id"))
+
+
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    return residue.exclude(load(spark, d, "documents").select("doc_id", "text", "source"), "doc_id", "text", "source").select("doc_id", "source")
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found}
+    return {"p9_found": p9_found, "p9_clean": p9_clean, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p5_found": """
+            SELECT DISTINCT 'element' AS item_kind, elem_id AS item_id FROM elements
+            WHERE length(text) > (SELECT max_chars FROM split_limits WHERE item_kind = 'element')
+            UNION ALL
+            SELECT DISTINCT 'page', export_id FROM pdf_layouts
+            WHERE list_sum(list_transform(layouts, x -> coalesce(length(x.text), 0))) > (SELECT max_chars FROM split_limits WHERE item_kind = 'page')""",
+    }
