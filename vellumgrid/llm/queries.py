@@ -84,11 +84,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residue(load(spark, d, "documents"), "doc_id", "text", "source").select(F.col("id").alias("doc_id"))
+    return residue.residue(spread(load(spark, d, "documents").select("doc_id", "text", "source", "page_id")), "doc_id", "text", "source", "page_id").select(F.col("id").alias("doc_id"))
 
 
 def p9_clean(spark: SparkSession, d: str) -> DataFrame:
-    return residue.exclude(load(spark, d, "documents").select("doc_id", "text", "source"), "doc_id", "text", "source").select("doc_id", "source")
+    return residue.exclude(spread(load(spark, d, "documents").select("doc_id", "text", "source", "page_id")), "doc_id", "text", "source", "page_id").select("doc_id", "source")
 
 
 def queries() -> dict:
