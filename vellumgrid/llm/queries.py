@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumgrid.llm import garble, language, lookalike, quality, residue, splitting
-from vellumgrid.runtime import load, spread
+from vellumgrid.llm import garble, language, lookalike, quality, residue, scans, splitting
+from vellumgrid.runtime import load, spread, stash
 
 #: at most so many clean samples are brought to the driver to fit a model
 MAX_SAMPLES = 20_000
@@ -83,6 +83,27 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(split_input(spark, d), limits(spark, d)).where("n_pieces > 1").select("item_kind", "item_id").distinct()
 
 
+def scan_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(scanned texts, line findings, misread words, texts of lone glyphs)."""
+    every = load(spark, d, "elements")
+    texts = stash(running_texts(spark, d, "pdf_id", where="ocr.is_ocr").select("elem_id", "pdf_id", "text"), "scanned")
+    headers = scans.header_lines(every.where(F.col("label").isin("PageHeader", "Page-Header")), "pdf_id", "text")
+    words = every.where(F.col("label").isin(*RUNNING)).select("text", F.col("ocr.is_ocr").alias("scanned"))
+    counts = stash(scans.grams(spread(words), "text", "scanned"), "grams")
+    return texts, scans.line_findings(texts, "elem_id", "text", "pdf_id", headers), scans.misreads(texts, "elem_id", "text", counts), texts.where(scans.lone_glyphs(F.col("text"))).select("elem_id")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    _, lines, words, glyphs = scan_parts(spark, d)
+    found = lines.select("id").unionByName(words.select("id")).unionByName(glyphs.select(F.col("elem_id").alias("id")))
+    return found.select(F.col("id").alias("elem_id")).distinct()
+
+
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    texts, lines, words, _ = scan_parts(spark, d)
+    return scans.reflow(texts, "elem_id", "text", lines, words).select(F.col("id").alias("elem_id"), "repaired")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(spread(load(spark, d, "documents").select("doc_id", "text", "source", "page_id")), "doc_id", "text", "source", "page_id").select(F.col("id").alias("doc_id"))
 
@@ -92,7 +113,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p9_found": p9_found, "p9_clean": p9_clean, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces}
+    return {"p6_found": p6_found, "p6_repaired": p6_repaired, "p9_found": p9_found, "p9_clean": p9_clean, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
