@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumgrid.llm import garble, language, lookalike, quality, residue, scans, splitting
+from vellumgrid.llm import garble, language, lookalike, mixing, packing, quality, residue, scans, splitting
 from vellumgrid.runtime import load, spread, stash
 
 #: at most so many clean samples are brought to the driver to fit a model
@@ -104,6 +104,45 @@ def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
     return scans.reflow(texts, "elem_id", "text", lines, words).select(F.col("id").alias("elem_id"), "repaired")
 
 
+def token_counts(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, source, n_tokens) of the documents with text, tokenized once and kept in the shared folder."""
+    docs = load(spark, d, "documents").select("doc_id", "source", "text").where("text IS NOT NULL")
+    return stash(packing.with_tokens(spread(docs), "text").select("doc_id", "source", "n_tokens"), "tokens")
+
+
+def p7_assign(spark: SparkSession, d: str) -> DataFrame:
+    tokens = token_counts(spark, d)
+    kinds = load(spark, d, "containers").select("container_kind", "capacity_tokens").orderBy("container_kind").limit(100).collect()
+    parts = [packing.pack(tokens, r[1], "doc_id", "n_tokens").select(F.lit(r[0]).alias("container_kind"), F.col("id").alias("doc_id"), "piece_no", "n_pieces", "size", "container") for r in kinds]
+    return union(parts)
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used, tokens and share filled, by kind."""
+    used = p7_assign(spark, d).groupBy("container_kind", "container").agg(F.sum("size").alias("tokens"))
+    caps = load(spark, d, "containers").select("container_kind", "capacity_tokens")
+    return used.groupBy("container_kind").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens")).join(caps, "container_kind").withColumn("filled", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
+
+
+def mix_targets(spark: SparkSession, d: str) -> dict[str, tuple[float, int]]:
+    return {r[0]: (r[1], r[2]) for r in load(spark, d, "mix_targets").select("source", "target_share", "max_repeats").limit(1000).collect()}
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(token_counts(spark, d), "doc_id", "source", "n_tokens", mix_targets(spark, d)).select(F.col("id").alias("doc_id"), "source", "use_no", "n_tokens", "slot")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(mixing.mix(token_counts(spark, d), "doc_id", "source", "n_tokens", mix_targets(spark, d)), mix_targets(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(spread(load(spark, d, "documents").select("doc_id", "text", "source", "page_id")), "doc_id", "text", "source", "page_id").select(F.col("id").alias("doc_id"))
 
@@ -113,7 +152,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p6_found": p6_found, "p6_repaired": p6_repaired, "p9_found": p9_found, "p9_clean": p9_clean, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces}
+    return {"p6_found": p6_found, "p6_repaired": p6_repaired, "p7_assign": p7_assign, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_clean": p9_clean, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces}
 
 
 def oracle_sql() -> dict[str, str]:

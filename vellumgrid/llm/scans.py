@@ -63,6 +63,11 @@ def mask(line: str) -> str:
     return regex.sub(r"[^\p{L}]+", "", line).lower()
 
 
+def tail(line: str) -> str:
+    """A line's mask without its first word: the title of a section, where the first word names the document."""
+    return "".join(regex.findall(r"\p{L}+", line)[1:]).lower()
+
+
 def tokens(text: str) -> list[str]:
     """Lower-case words, hyphenation undone."""
     out = []
@@ -181,7 +186,9 @@ def noise_lines(lines: list[str]) -> tuple[list[int], list[int]]:
 def line_findings(df: DataFrame, key: str, text: str, document: str, headers: DataFrame) -> DataFrame:
     """(id, finding, line_no): 'broken' words at line ends, 'page_number' and 'header' lines.
 
-    headers: (document, masked) of the page headers, distinct.
+    headers: (document, masked, tail) of the page headers.  A line is a header
+    if it repeats one of its document, or if it stands in two texts of its
+    document at least and its tail is that of a header of any document.
     """
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,26 +196,31 @@ def line_findings(df: DataFrame, key: str, text: str, document: str, headers: Da
             rows = []
             for k, doc, t in zip(b["id"], b["doc"], b["t"]):
                 if BROKEN.search(t):
-                    rows.append((k, doc, "broken", -1, None))
+                    rows.append((k, doc, "broken", -1, None, None))
                 if "\n" in t:
                     lines = t.split("\n")
                     numbers, shorts = noise_lines(lines)
-                    rows += [(k, doc, "page_number", i, None) for i in numbers]
-                    rows += [(k, doc, "line", i, m) for i in shorts if (m := mask(lines[i]))]
-            yield pd.DataFrame(rows, columns=["id", "doc", "finding", "line_no", "masked"])
+                    rows += [(k, doc, "page_number", i, None, None) for i in numbers]
+                    rows += [(k, doc, "line", i, m, tail(lines[i])) for i in shorts if (m := mask(lines[i]))]
+            yield pd.DataFrame(rows, columns=["id", "doc", "finding", "line_no", "masked", "tail"])
 
     rows = df.select(F.col(key).alias("id"), F.col(document).cast("string").alias("doc"), F.col(text).alias("t")).where("id IS NOT NULL AND contains(t, '\n')")
     id_type = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInPandas(find, f"id {id_type}, doc string, finding string, line_no int, masked string")
+    found = rows.mapInPandas(find, f"id {id_type}, doc string, finding string, line_no int, masked string, tail string")
     found = stash(found, "lines")
     heads = headers.select(F.col("document").cast("string").alias("doc"), "masked").where("masked <> ''").distinct()
-    matched = found.where("finding = 'line'").join(heads, ["doc", "masked"], "left_semi").select("id", F.lit("header").alias("finding"), "line_no")
+    tails = headers.select("tail").where("length(tail) >= 4").distinct()
+    lines = found.where("finding = 'line'")
+    again = lines.where("tail <> ''").join(tails, "tail", "left_semi")
+    often = again.select("doc", "masked", "id").distinct().groupBy("doc", "masked").agg(F.count("*").alias("c")).where("c > 1").select("doc", "masked")
+    matched = lines.join(heads.unionByName(often).distinct(), ["doc", "masked"], "left_semi").select("id", F.lit("header").alias("finding"), "line_no")
     return found.where("finding <> 'line'").select("id", "finding", "line_no").unionByName(matched).distinct()
 
 
 def header_lines(pages: DataFrame, document: str, text: str) -> DataFrame:
-    """(document, masked) of the elements that are page headers."""
-    return pages.select(F.col(document).cast("string").alias("document"), masked(F.col(text)).alias("masked")).where("document IS NOT NULL AND length(masked) >= 3").distinct()
+    """(document, masked, tail) of the elements that are page headers."""
+    rest = F.regexp_extract(F.regexp_replace(F.col(text), "^[^\\p{L}]+", ""), "^\\p{L}+([\\s\\S]*)$", 1)
+    return pages.select(F.col(document).cast("string").alias("document"), masked(F.col(text)).alias("masked"), masked(rest).alias("tail")).where("document IS NOT NULL AND length(masked) >= 3").distinct()
 
 
 def reflow(df: DataFrame, key: str, text: str, findings: DataFrame, fixes: DataFrame) -> DataFrame:
