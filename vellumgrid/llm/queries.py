@@ -162,5 +162,5 @@ def oracle_sql() -> dict[str, str]:
             WHERE length(text) > (SELECT max_chars FROM split_limits WHERE item_kind = 'element')
             UNION ALL
             SELECT DISTINCT 'page', export_id FROM pdf_layouts
-            WHERE list_sum(list_transform(layouts, x -> coalesce(length(x.text), 0))) > (SELECT max_chars FROM split_limits WHERE item_kind = 'page')""",
+            WHERE list_sum(list_transform(layouts, lambda x: coalesce(length(x.text), 0))) > (SELECT max_chars FROM split_limits WHERE item_kind = 'page')""",
     }
