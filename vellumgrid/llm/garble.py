@@ -270,29 +270,27 @@ def repair(text: str, model: ChainModel, least_gain: float = 14.0) -> tuple[str
 def _loose_chain(text: str, model: ChainModel, least_gain: float) -> tuple[str, list[tuple[int, int]]] | None:
     """The best 8-bit chain of a stretch of words, and the spans of the words."""
     words = [(m.start(), m.end(), model.leanings(m.group()), len(m.group())) for m in WORDS.finditer(text)]
-    best: tuple[float, str, list[tuple[int, int]]] | None = None
+    best: tuple[float, str, list[tuple[int, int]], int] | None = None
     for name in {n for _, _, lean, _ in words for n in lean} - {LOST}:
-        total, spans, letters = 0.0, [], 0  # letters: words of letters
+        latin = name.startswith(("cp1250", "iso8859"))
+        total, spans, symbols = 0.0, [], False
         for a, b, lean, size in words:
             if size == 1:  # no evidence
                 continue
             gain = lean.get(name, -12.0)
             if total + gain <= 0:
-                total, spans, letters = 0.0, [], 0  # letters: words of letters
+                total, spans, symbols = 0.0, [], False
                 continue
             total += gain
             if gain > 0:
-                spans = [*spans, (a, b)]
-                letters += 1
+                spans.append((a, b))
+                symbols = symbols or (latin and any(not c.isalpha() and c not in "'’-" for c in text[a:b]))
             # single words prove little: between Latin alphabets a symbol inside a word is needed too
-            if letters > 1 and total >= least_gain and (best is None or total > best[0]):
-                inside = "".join(text[x:y] for x, y in spans)
-                if name.startswith(("cp1250", "iso8859")) and not any(not c.isalpha() and c not in "'’-" for c in inside):
-                    continue
-                best = (total, name, spans)
+            if len(spans) > 1 and total >= least_gain and (symbols or not latin) and (best is None or total > best[0]):
+                best = (total, name, spans, len(spans))
     if not best:
         return None
-    spans = best[2]  # single letters next to the stretch are inverted with it
+    spans = best[2][: best[3]]  # single letters next to the stretch are inverted with it
     singles = [(a, b) for a, b, _, size in words if size == 1 and spans[0][0] - 10 <= a <= spans[-1][1] + 2]
     return best[1], sorted({*spans, *singles})
 

@@ -28,10 +28,11 @@ from vellumgrid.llm.lookalike import CYRILLIC_LIKE_LATIN, GREEK_LIKE_LATIN, invi
 BITS = 17
 ORDERS = (1, 2, 3, 4)
 #: a passage of another language has so many words and letters at least, outside brackets
-LEAST_WORDS, LEAST_LETTERS = 5, 22
+LEAST_WORDS, LEAST_LETTERS = 7, 34
 #: natural-log advantage of another language that makes a passage of its own
 LEAST_GAIN = 14.0
 CHUNK = 300_000
+BLOCK = 400_000
 
 # Codes of the languages of the samples, ISO 639-1 and both forms of 639-2.
 ISO_THREE = {"eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "ita": "it", "por": "pt", "nld": "nl", "dut": "nl", "pol": "pl", "rus": "ru"}
@@ -100,6 +101,8 @@ def fit(samples: list[tuple[str, str]], unseen: float = 0.05) -> LanguageModel:
     Interpolated with the uniform distribution, so an unseen n-gram favours no language.
     """
     langs = sorted({lang for lang, _ in samples})
+    if not langs:
+        raise ValueError("no samples to learn a language from")
     counts = np.zeros((len(langs), 1 << BITS))
     for lang, text in samples:
         k = langs.index(lang)
@@ -139,13 +142,18 @@ def _judge_chunk(texts: list[str], model: LanguageModel) -> list:
     keep = np.ones(len(codes), dtype=bool)
     keep[1:] = (codes[1:] != _SPACE) | (codes[:-1] != _SPACE) | (seg_of[1:] != seg_of[:-1])
     codes, seg_of, live = codes[keep], seg_of[keep], live[keep]
-    total = np.zeros((len(codes), len(model.langs)), dtype=np.float32)
-    for h in _hashes(codes):
-        total += model.weights[h]
     is_letter = codes != _SPACE
-    total[~is_letter] = 0.0
     begin = np.flatnonzero(np.concatenate([[True], seg_of[1:] != seg_of[:-1]]))
-    score = np.add.reduceat(total, begin, axis=0)
+    score = np.zeros((len(begin), len(model.langs)))
+    for a in range(0, len(codes), BLOCK):  # a matrix of one block at a time, however long a text is
+        b, lead = min(len(codes), a + BLOCK), min(a, max(ORDERS) - 1)
+        total = np.zeros((b - a, len(model.langs)), dtype=np.float32)
+        for h in _hashes(codes[a - lead : b]):
+            total += model.weights[h[lead:]]
+        total[~is_letter[a:b]] = 0.0
+        first_seg = int(np.searchsorted(begin, a, side="right")) - 1
+        inside = begin[(begin > a) & (begin < b)]
+        score[first_seg : first_seg + 1 + len(inside)] += np.add.reduceat(total, np.concatenate([[0], inside - a]), axis=0)
     n_letters = np.add.reduceat(is_letter.astype(np.int64), begin)
     word_start = is_letter & np.concatenate([[True], ~is_letter[:-1]])
     n_words = np.add.reduceat(word_start.astype(np.int64), begin)

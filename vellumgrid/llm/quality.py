@@ -49,34 +49,35 @@ def with_statistics(df: DataFrame, text: str, common: list[str], only: "set[str]
     words = sorted({w.lower() for w in common if w})
     is_common = (lambda w: w.isin(words)) if words else (lambda w: F.lit(False))
     edge = "[\\p{P}\\p{S}]"
-    out = df.drop(*[c for c in df.columns if c in STATS or c.startswith("_q_")])
-    out = out.withColumn("_q_t", F.when(F.trim(F.regexp_replace(plain, "\\s+$", "")) != "", plain))
-    out = out.withColumn("_q_w", F.split(F.trim(F.regexp_replace("_q_t", "\\s+", " ")), " "))
-    bare = F.regexp_replace("_q_t", "\\s+", "")
-    out = out.withColumn("_q_b", F.length(bare)).withColumn("_q_n", F.size("_q_w").cast("double"))
-    out = out.withColumn("_q_l", F.length(F.regexp_replace("_q_t", "[^\\p{L}\\p{M}]+", ""))).withColumn("_q_d", F.length(F.regexp_replace("_q_t", "[^0-9]+", "")))
-    out = out.withColumn("_q_low", F.filter(F.split(F.lower("_q_t"), "[^\\p{L}\\p{M}]+"), lambda w: w != ""))
-    out = out.withColumn("_q_lines", F.size(F.split("_q_t", "\n")))
-    known = F.col("_q_t").isNotNull()
+    out = df.drop(*[c for c in df.columns if c in STATS or c.startswith("__vg_")])
+    # every pattern below runs in time linear in the text: no run is tried again from each of its places
+    out = out.withColumn("__vg_p", plain).withColumn("__vg_s", F.trim(F.regexp_replace("__vg_p", "\\s+", " ")))
+    out = out.withColumn("__vg_t", F.when(F.col("__vg_s") != "", F.col("__vg_p"))).withColumn("__vg_w", F.when(F.col("__vg_s") != "", F.split("__vg_s", " ")))
+    bare = F.regexp_replace("__vg_t", "\\s+", "")
+    out = out.withColumn("__vg_b", F.length(bare)).withColumn("__vg_n", F.size("__vg_w").cast("double"))
+    out = out.withColumn("__vg_l", F.length(F.regexp_replace("__vg_t", "[^\\p{L}\\p{M}]+", ""))).withColumn("__vg_d", F.length(F.regexp_replace("__vg_t", "[^0-9]+", "")))
+    out = out.withColumn("__vg_low", F.filter(F.split(F.lower("__vg_t"), "[^\\p{L}\\p{M}]+"), lambda w: w != ""))
+    out = out.withColumn("__vg_lines", F.size(F.split("__vg_t", "\n")))
+    known = F.col("__vg_t").isNotNull()
     stats: dict[str, Column] = {
-        "n_chars": F.length("_q_t"),
-        "n_words": F.col("_q_n").cast("int"),
-        "n_lines": F.col("_q_lines"),
-        "mean_word_length": F.col("_q_b") / F.col("_q_n"),
-        "max_word_length": F.array_max(F.transform("_q_w", lambda w: F.length(w))),
-        "symbol_share": (F.col("_q_b") - F.col("_q_l") - F.col("_q_d")) / F.col("_q_b"),
-        "digit_share": F.col("_q_d") / F.col("_q_b"),
-        "punct_line_share": F.regexp_count("_q_t", F.lit("[.!?…][\"'”»«)\\]]*[ \\t]*(?=\\n|$)")) / F.col("_q_lines"),
-        "common_word_share": F.when(F.size("_q_low") > 0, F.size(F.filter("_q_low", is_common)) / F.size("_q_low")).otherwise(0.0),
-        "sentence_ends": F.regexp_count("_q_t", F.lit("[^\\s.!?]{2}[.!?…](?=[\"'”»)\\]\\s]|$)")),
-        "sentences_per_word": F.regexp_count("_q_t", F.lit("[^\\s.!?]{2}[.!?…](?=[\"'”»)\\]\\s]|$)")) / F.col("_q_n"),
-        "numeric_word_share": F.regexp_count("_q_t", F.lit("(?<!\\S)[^\\s\\p{L}]*[0-9][^\\s\\p{L}]*(?!\\S)")) / F.col("_q_n"),
-        "letter_word_share": F.size("_q_low") / F.col("_q_n"),
-        "distinct_word_share": F.size(F.array_distinct("_q_w")) / F.col("_q_n"),
-        "separators_per_word": F.regexp_count("_q_t", F.lit("[,;|\\t*•]|^ *-|\\n *-")) / F.col("_q_n"),
-        "words_per_line": F.col("_q_n") / F.col("_q_lines"),
+        "n_chars": F.length("__vg_t"),
+        "n_words": F.col("__vg_n").cast("int"),
+        "n_lines": F.col("__vg_lines"),
+        "mean_word_length": F.col("__vg_b") / F.col("__vg_n"),
+        "max_word_length": F.array_max(F.transform("__vg_w", lambda w: F.length(w))),
+        "symbol_share": (F.col("__vg_b") - F.col("__vg_l") - F.col("__vg_d")) / F.col("__vg_b"),
+        "digit_share": F.col("__vg_d") / F.col("__vg_b"),
+        "punct_line_share": F.regexp_count("__vg_t", F.lit("[.!?…][\"'”»«)\\]]*[ \\t]*(?=\\n|$)")) / F.col("__vg_lines"),
+        "common_word_share": F.when(F.size("__vg_low") > 0, F.size(F.filter("__vg_low", is_common)) / F.size("__vg_low")).otherwise(0.0),
+        "sentence_ends": F.regexp_count("__vg_t", F.lit("[^\\s.!?]{2}[.!?…](?=[\"'”»)\\]\\s]|$)")),
+        "sentences_per_word": F.regexp_count("__vg_t", F.lit("[^\\s.!?]{2}[.!?…](?=[\"'”»)\\]\\s]|$)")) / F.col("__vg_n"),
+        "numeric_word_share": F.regexp_count("__vg_t", F.lit("(?<!\\S)(?=[^\\s\\p{L}]++(?!\\S))[^\\s\\p{L}0-9]*+[0-9]")) / F.col("__vg_n"),
+        "letter_word_share": F.size("__vg_low") / F.col("__vg_n"),
+        "distinct_word_share": F.size(F.array_distinct("__vg_w")) / F.col("__vg_n"),
+        "separators_per_word": F.regexp_count("__vg_t", F.lit("[,;|\\t*•]|^ *-|\\n *-")) / F.col("__vg_n"),
+        "words_per_line": F.col("__vg_n") / F.col("__vg_lines"),
     }
-    kept = [c for c in out.columns if not c.startswith("_q_") and c not in STATS]
+    kept = [c for c in out.columns if not c.startswith("__vg_") and c not in STATS]
     row = F.struct(*[F.when(known, v).alias(k) for k, v in stats.items() if only is None or k in only])
     return out.select(*kept, F.inline(F.array(row)))
 

@@ -174,11 +174,11 @@ def noise_lines(lines: list[str]) -> tuple[list[int], list[int]]:
     numbers, shorts = [], []
     for i, line in enumerate(lines):
         s = line.strip()
-        if not s:
+        if not s or len(s) > 80:
             continue
         if PAGE_NUMBER.match(s) and not SENTENCE_NUMBER.match(s):
             numbers.append(i)
-        elif len(s) <= 80:
+        else:
             shorts.append(i)
     return numbers, shorts
 
