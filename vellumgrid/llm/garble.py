@@ -147,6 +147,8 @@ class ChainModel:
                 break
             if name in ("utf-8>koi8_r", "utf-8>cp866") and len(run) < 4:
                 continue
+            if run[-1].isspace() and len(run) == 2 and run[0] not in "ÃÂ":
+                continue  # a letter before a hard space
             fixed = restore(run, name)
             if fixed is not None and fixed != run and all(known(c) for c in fixed):
                 return name, fixed
@@ -262,7 +264,7 @@ def repair(text: str, model: ChainModel, least_gain: float = 14.0) -> tuple[str
             out = out[:a] + (restore(out[a:b], chain) or out[a:b]) + out[b:]
     if "�" in text or any(c != "\x85" for c in CONTROLS.findall(out)):
         found.add(LOST)
-    elif LEADS.search(out) and any(model.leanings(w).get(LOST, 0.0) > LOST_GAIN for w in WORDS.findall(out)):
+    elif LEADS.search(out) and any(model.leanings(w).get(LOST, 0.0) > LOST_GAIN for w in WORDS.findall(UNSEEN.sub("", out)) if WIDE.search(w) is None):
         found.add(LOST)
     return ("+".join(sorted(found)) or None), out
 
@@ -313,7 +315,10 @@ def _partial(run: str, model: ChainModel) -> tuple[str, str]:
 LOST_GAIN = 5.0
 _OUTER = set(MARKS) | set("\xa0\u2002\u2005\u2007\u2009\u202f\u3000\u200b\u200c\u200d\u200e\u2060\ufeff\xad‐¬�")
 #: words with a character beyond ASCII, symbols between letters included
-WORDS = re.compile(r"(?<![^\s(\[“«„/])[A-Za-z\xa1-\u04ff'’-]*[\xa1-\u04ff][A-Za-z\xa1-\u04ff'’-]*")
+WORDS = re.compile(r"(?<![^\s(\[“«„/])[A-Za-z\xa1-\u04ff\uff01-\uff5e'’-]*[\xa1-\u04ff][A-Za-z\xa1-\u04ff\uff01-\uff5e'’-]*")
+#: what a text may hold unseen within a word, and what no chain brings forth
+UNSEEN = re.compile("[\xad\u200b-\u200f\u2060\ufeff]")
+WIDE = re.compile("[\u0300-\u036f\uff01-\uff5e]")
 
 
 def beyond_ascii(text: Column) -> Column:

@@ -181,7 +181,8 @@ def count_characters(df: DataFrame, text: str) -> dict[str, int]:
                     marks = np.flatnonzero((units[1:] >= 0x300) & (units[1:] < 0x370))
                     found.update(chr(a) + chr(m) for a, m in zip(units[marks].tolist(), units[marks + 1].tolist()))
         seen = [int(i) for i in np.flatnonzero(total) if i and not 0xD800 <= i < 0xE000]
-        yield pd.DataFrame({"m": [chr(i) for i in seen] + list(found), "n": [int(total[i]) for i in seen] + list(found.values())})
+        if seen:  # an empty frame has no types
+            yield pd.DataFrame({"m": [chr(i) for i in seen] + list(found), "n": [int(total[i]) for i in seen] + list(found.values())})
 
     part = df.select(F.col(text).cast("string").alias("t")).where("t IS NOT NULL AND t <> ''").mapInPandas(per_batch, "m string, n long")
     return {r["m"]: r["n"] for r in part.groupBy("m").agg(F.sum("n").alias("n")).where("n > 0").collect()}

@@ -38,7 +38,7 @@ def schedule(weights: list[tuple[str, float]], slots: int) -> dict[str, list[int
     """Source -> its slots in order."""
     total = sum(w for _, w in weights)
     out: dict[str, list[int]] = {s: [] for s, _ in weights}
-    for k in range(slots):
+    for k in range(slots if total > 0 else 0):
         x, last = golden(k) * total, None
         for s, w in weights:
             if w <= 0:

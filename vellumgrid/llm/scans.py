@@ -103,7 +103,8 @@ def grams(df: DataFrame, text: str, scanned: str) -> DataFrame:
                 to.update(map(" ".join, zip(words, words[1:])))
             if len(clean) + len(scan) > 400_000:
                 yield out()
-        yield out()
+        if clean or scan:  # an empty frame has no types
+            yield out()
 
     rows = df.select(F.col(text).alias("t"), F.coalesce(F.col(scanned), F.lit(False)).alias("s")).where("t <> ''")
     return rows.mapInPandas(count, "gram string, clean long, n long").groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("n").alias("n"))
@@ -143,7 +144,8 @@ def misreads(df: DataFrame, key: str, text: str, counts: DataFrame) -> DataFrame
                         before.append(words[i - 1] if i else None)
                         rare.append(w)
                         after.append(words[i + 1] if i + 1 < len(words) else None)
-            yield pd.DataFrame({"id": ids, "before": before, "rare": rare, "after": after})
+            if ids:
+                yield pd.DataFrame({"id": ids, "before": before, "rare": rare, "after": after})
 
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("t")).where("id IS NOT NULL AND t <> ''")
     id_type = rows.schema["id"].dataType.simpleString()
@@ -202,7 +204,8 @@ def line_findings(df: DataFrame, key: str, text: str, document: str, headers: Da
                     numbers, shorts = noise_lines(lines)
                     rows += [(k, doc, "page_number", i, None, None) for i in numbers]
                     rows += [(k, doc, "line", i, m, tail(lines[i])) for i in shorts if (m := mask(lines[i]))]
-            yield pd.DataFrame(rows, columns=["id", "doc", "finding", "line_no", "masked", "tail"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["id", "doc", "finding", "line_no", "masked", "tail"])
 
     rows = df.select(F.col(key).alias("id"), F.col(document).cast("string").alias("doc"), F.col(text).alias("t")).where("id IS NOT NULL AND contains(t, '\n')")
     id_type = rows.schema["id"].dataType.simpleString()

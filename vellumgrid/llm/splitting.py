@@ -29,7 +29,7 @@ BOUNDARIES = (
     (2, re.compile(r"\s+")),
     (1, re.compile(r"[-‐–—/]")),
 )
-PART = 7
+PART, SENTENCE = 7, 4
 
 
 def boundaries(text: str, parts: list[int]) -> dict[int, int]:
@@ -53,19 +53,22 @@ def cuts(length: int, found: dict[int, int], limit: int, overlap: int) -> list[t
         return [(0, length)]
     least = -(-(length - overlap) // (limit - overlap))
     places = sorted(found)
-    fallback: list[tuple[int, int]] | None = None
+    best: tuple[int, list[tuple[int, int]]] | None = None
     for n in range(least, least + 3 + least // 4):
-        got, natural = _place(length, places, found, limit, overlap, n)
-        if natural:
-            return got
-        fallback = fallback or got
-    return fallback or got
+        got, weakest = _place(length, places, found, limit, overlap, n)
+        if best is None or weakest > best[0]:
+            best = (weakest, got)
+        # one piece more may bring every cut to the end of a sentence; only a cut within a word is worth more pieces than that
+        if best[0] >= SENTENCE or (n > least and best[0] > 0):
+            break
+    return best[1]
 
 
-def _place(length: int, places: list[int], found: dict[int, int], limit: int, overlap: int, n: int) -> tuple[list[tuple[int, int]], bool]:
+def _place(length: int, places: list[int], found: dict[int, int], limit: int, overlap: int, n: int) -> tuple[list[tuple[int, int]], int]:
+    """The pieces and the strength of the weakest cut, a sentence end at most; 0 for a cut at no boundary."""
     from bisect import bisect_left, bisect_right
 
-    pieces, start, natural = [], 0, True
+    pieces, start, weakest = [], 0, SENTENCE
     for k in range(1, n):
         left = n - k + 1  # pieces still to come, this one included
         even = (length - start + (left - 1) * overlap) / left
@@ -78,13 +81,14 @@ def _place(length: int, places: list[int], found: dict[int, int], limit: int, ov
             a, b = bisect_left(places, low), bisect_right(places, high)
         if a < b:
             end = min(places[a:b], key=lambda p: (-found[p], abs(p - target), p))
+            weakest = min(weakest, found[end])
         else:
-            natural = False
+            weakest = 0
             end = max(low, min(high, round(target)))
         pieces.append((start, end))
         start = end - overlap
     pieces.append((start, length))
-    return pieces, natural
+    return pieces, weakest
 
 
 def split_items(items: DataFrame, limits: dict[str, tuple[int, int]]) -> DataFrame:
@@ -122,6 +126,7 @@ def oversized_pieces(items: DataFrame, limits: dict[str, tuple[int, int]]) -> Da
                     ends.append((ends[-1] if ends else 0) + len(p))
                 got = cuts(len(text), boundaries(text, ends), most, overlap)
                 rows += [(kind, key, k + 1, len(got), a, e, text[a:e]) for k, (a, e) in enumerate(got)]
-            yield pd.DataFrame(rows, columns=["item_kind", "item_id", "piece_no", "n_pieces", "start", "end", "piece"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["item_kind", "item_id", "piece_no", "n_pieces", "start", "end", "piece"])
 
     return items.select("item_kind", "item_id", "parts").mapInPandas(run, PIECES)

@@ -156,6 +156,8 @@ def infer_layout(pages: DataFrame, model: InferBackend | None, options: LayoutOp
                     image = np.frombuffer(r.image, dtype=np.uint8).reshape(int(r.img_h), int(r.img_w), 3)
                     out = np.asarray(model.run(layout_input(image, options)), dtype=np.float32).reshape(4 + options.classes, -1)
                     keep = np.flatnonzero(~(out[4:].max(axis=0) < np.float32(options.least_score)))
+                    if not len(keep):  # an empty frame has no types
+                        continue
                     yield pd.DataFrame({
                         "doc_id": r.doc_id, "page_no": r.page_no, "anchor_idx": keep, "cx": out[0, keep], "cy": out[1, keep], "w": out[2, keep], "h": out[3, keep],
                         "scores": list(out[4:, keep].T), "scale": r.scale, "image_w": float(options.input_size), "image_h": float(options.input_size), "error": None,
