@@ -147,7 +147,7 @@ class ChainModel:
                 break
             if name in ("utf-8>koi8_r", "utf-8>cp866") and len(run) < 4:
                 continue
-            if run[-1].isspace() and len(run) == 2 and run[0] not in "ÃÂ":
+            if len(run) == 2 and run[1] == "\xa0" and run[0] >= "Ѐ":
                 continue  # a letter before a hard space
             fixed = restore(run, name)
             if fixed is not None and fixed != run and all(known(c) for c in fixed):
