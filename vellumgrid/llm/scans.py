@@ -8,7 +8,7 @@ left with SQL windows over the lines.
 
 Defined cases: null and empty texts give no finding and come back unchanged;
 null document ids match no header; repeated rows of an id count once; ties
-between frequent forms go to the smaller string; extra columns are ignored; an
+between frequent forms go to the greater string; extra columns are ignored; an
 empty table gives empty results.
 """
 
@@ -39,8 +39,14 @@ HYPHENS = "-‐‑¬=~\xad"
 BROKEN = regex.compile(rf"(?<=\p{{L}})[{HYPHENS}][ \t]*\n[ \t]*(?=\p{{L}})")
 #: a hyphenated word that a page number or header line interrupts
 INTERRUPTED = regex.compile(rf"\p{{L}}[{HYPHENS}][ \t]*(?:\n|$)")
-PAGE_NUMBER = regex.compile(r"^[^\p{L}\p{N}]*(?:(?:p|pp|pg|page|s|seite|str|strona|pag|pág|página|pagina|blz|с|стр)\.?\s*)?\d{1,4}[^\p{L}\p{N}%°]*$|^[^\p{L}\p{N}]*(?=[ivxlc])(?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})[^\p{L}\p{N}]*$|^\d{1,4}\s?(?:/|of|von|de|sur|van|z|из)\s?\d{1,4}$", regex.I)
-SENTENCE_NUMBER = regex.compile(r"^\d+[.,;:)!?]+$")
+_FRAME = r"[\s\-–—\[\]().|•*·~_=:]*"
+PAGE_NUMBER = regex.compile(
+    rf"^{_FRAME}(?:(?:p|pp|pg|page|s|seite|str|strona|pag|pág|página|pagina|blz|с|стр)\.?\s*)?\d{{1,4}}{_FRAME}$"
+    rf"|^{_FRAME}(?=[ivxlc])(?:c{{0,3}})(?:xc|xl|l?x{{0,3}})(?:ix|iv|v?i{{0,3}}){_FRAME}$|^\d{{1,4}}\s?(?:/|of|von|de|sur|van|z|из)\s?\d{{1,4}}$",
+    regex.I,
+)
+#: a number that ends a sentence or a bracket begun on the line before
+SENTENCE_NUMBER = regex.compile(r"^[^(\[]*\p{N}+\s?[)\]]|^.*[\p{L}\p{N})\]]\s?[.,;:!?]+$")
 TOKEN = regex.compile(r"[^\s.,;:()\[\]“”„«»‘’'\"…/?{}<>]+")
 _EDGE = regex.compile(r"^[^\p{L}\p{N}@!+|~]+|[^\p{L}\p{N}@!+|~]+$")
 
@@ -111,15 +117,12 @@ def grams(df: DataFrame, text: str, scanned: str) -> DataFrame:
 
 
 def confusions(counts: DataFrame) -> DataFrame:
-    """(rare, form, rare_clean, form_clean): each rare form with the frequent form of its skeleton.
-
-    Skeletons are aggregated with max, so a large group never meets in one task.
-    """
+    """(rare, form, rare_clean, form_clean): each rare form with every frequent form of its skeleton."""
     words = counts.where(~F.col("gram").contains(" ")).select(F.col("gram").alias("word"), "clean", "n").withColumn("skeleton", skeleton(F.col("word")))
-    words = words.where(F.length("skeleton") > 1)
-    best = words.where((F.col("clean") >= LEAST_COUNT) & F.col("word").rlike("^\\p{L}+$")).groupBy("skeleton").agg(F.max(F.struct("clean", F.lit(0).alias("z"), F.col("word").alias("form"))).alias("best"))
-    pairs = words.join(best, "skeleton").where("word <> best.form AND clean * %d <= best.clean" % LEAST_RATIO)
-    return pairs.select(F.col("word").alias("rare"), F.col("best.form").alias("form"), F.col("clean").alias("rare_clean"), F.col("best.clean").alias("form_clean"))
+    words = words.where((F.length("skeleton") > 1) & F.col("word").rlike("\\p{L}"))
+    forms = words.where((F.col("clean") >= LEAST_COUNT) & F.col("word").rlike("^\\p{L}+$")).select("skeleton", F.col("word").alias("form"), F.col("clean").alias("form_clean"))
+    pairs = words.join(forms, "skeleton").where(f"word <> form AND clean * {LEAST_RATIO} <= form_clean")
+    return pairs.select(F.col("word").alias("rare"), "form", F.col("clean").alias("rare_clean"), "form_clean")
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:
@@ -150,7 +153,7 @@ def misreads(df: DataFrame, key: str, text: str, counts: DataFrame) -> DataFrame
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("t")).where("id IS NOT NULL AND t <> ''")
     id_type = rows.schema["id"].dataType.simpleString()
     odd = rows.mapInPandas(emit, f"id {id_type}, before string, rare string, after string")
-    hits = stash(odd.join(_sized(pairs, n), "rare").select("id", "before", "rare", "after", "form"), "hits")
+    hits = stash(odd.join(_sized(pairs, n), "rare").select("id", "before", "rare", "after", "form", "form_clean"), "hits")
     asked = hits.select(F.concat_ws(" ", "before", "form").alias("gram")).unionByName(hits.select(F.concat_ws(" ", "form", "after").alias("gram"))).where(F.col("gram").contains(" ")).distinct()
     m = asked.count()
     seen = stash(counts.where("clean > 0").join(_sized(asked, m), "gram", "left_semi").select("gram", "clean"), "seen")
@@ -163,7 +166,9 @@ def misreads(df: DataFrame, key: str, text: str, counts: DataFrame) -> DataFrame
     glyph = F.col("rare").rlike("[@!+|~0-9]")
     sure = F.when(F.length("rare") <= 2, both | (edge & (support > 0) & glyph)).otherwise(support > 0)
     named = glyph & F.col("rare").rlike("^\\p{L}{2,}[@!+|~0-9]\\p{L}{2,}$")
-    return got.where(sure | named).select("id", "rare", "form").distinct()
+    # of the forms that the neighbours support the one they support most, then the most frequent
+    judged = got.where(sure | named).select("id", "rare", F.struct(support.alias("support"), "form_clean", "form").alias("best"))
+    return judged.groupBy("id", "rare").agg(F.max("best").alias("best")).select("id", "rare", F.col("best.form").alias("form"))
 
 
 def lone_glyphs(text: Column) -> Column:
