@@ -25,7 +25,8 @@ from vellumgrid.runtime import stash
 #: the fractional part of the golden ratio, scaled to 2 ** 53 (a fixed value): exact integer arithmetic
 GOLDEN = 5566755282872655
 ONE = 1 << 53
-PARTS = 64
+#: rows of one part of a source, about; a part is what one task sorts
+PART_ROWS = 50_000
 #: slots a mix; a block then holds 1 / SLOTS of the whole
 SLOTS = 4096
 
@@ -66,21 +67,23 @@ def mix(records: DataFrame, key: str, source: str, size: str, targets: dict[str,
 
     targets: source -> (share, most uses of one record).  A running sum over a
     whole source would put it into one task, so records are dealt by hash to
-    PARTS parts of each source and pass; sums of parts shift the sums within.
+    parts of about PART_ROWS of each source and pass; sums of parts shift the sums within.
     """
     for s, (share, repeats) in targets.items():
         if share < 0 or repeats < 1:
             raise ValueError(f"target {share} with {repeats} uses of {s}")
     rows = records.select(F.col(key).alias("id"), F.col(source).alias("source"), F.col(size).cast("long").alias("n_tokens")).where("id IS NOT NULL AND n_tokens > 0").where(F.col("source").isin(list(targets)))
     rows = stash(rows.dropDuplicates(["id"]), "mix")
-    sizes = {r["source"]: r["t"] for r in rows.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
+    known = rows.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()  # one row a targeted source
+    sizes = {r["source"]: r["t"] for r in known}
+    bits = max(4, (max([r["n"] for r in known], default=1) // PART_ROWS).bit_length())
     want = budget(sizes, targets)
     spark = rows.sparkSession
     plan = schedule(sorted((s, float(t)) for s, t in want.items()), slots)
     quota = spark.createDataFrame([(s, want[s], -(-want[s] // sizes[s]), max(1, len(plan[s]))) for s in want], "source string, want long, passes int, own long")
     # a fixed, small table: one row a source
     uses = rows.join(F.broadcast(quota), "source").withColumn("use_no", F.explode(F.sequence(F.lit(1), F.col("passes"))))
-    uses = uses.withColumn("h", F.xxhash64(F.lit(seed), "use_no", "id")).withColumn("part", F.shiftrightunsigned("h", 58).cast("int"))
+    uses = uses.withColumn("h", F.xxhash64(F.lit(seed), "use_no", "id")).withColumn("part", F.shiftrightunsigned("h", 64 - bits).cast("int"))
     within = W.partitionBy("source", "use_no", "part").orderBy("h", "id")
     dealt = uses.withColumn("upto", F.sum("n_tokens").over(within.rowsBetween(W.unboundedPreceding, 0)))
     totals = uses.groupBy("source", "use_no", "part").agg(F.sum("n_tokens").alias("t"))

@@ -155,7 +155,8 @@ def pack(items: DataFrame, capacity: int, key: str, size: str, window: int = 64)
     rows = items.select(F.col(key).alias("id"), F.col(size).cast("long").alias("n")).where("id IS NOT NULL AND n > 0").dropDuplicates(["id"])
     full = F.floor((F.col("n") - 1) / capacity)
     cut = rows.withColumn("n_pieces", (full + 1).cast("int")).select("id", "n_pieces", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n_pieces")), lambda k: F.when(k < F.col("n_pieces"), F.lit(capacity)).otherwise(F.col("n") - (F.col("n_pieces") - 1) * capacity).cast("int"))).alias("piece_no", "size"))
-    pieces = stash(numbered(cut), f"pieces{capacity}")
+    parts = max(8, int(rows.agg(F.sum(full + 1)).first()[0] or 0) // PART_ROWS)
+    pieces = stash(numbered(cut, parts), f"pieces{capacity}")
     counts = {r["size"]: r["n"] for r in pieces.groupBy("size").agg(F.count("*").alias("n")).collect()}
     slots, at, used = [], 0, {}
     for times, pattern in fill(counts, capacity, window):
@@ -174,10 +175,11 @@ def pack(items: DataFrame, capacity: int, key: str, size: str, window: int = 64)
 
 
 BLOCK = 4096
-PARTS = 64
+#: rows of one part of a size, about; a part is what one task sorts
+PART_ROWS = 50_000
 
 
-def numbered(pieces: DataFrame, parts: int = PARTS) -> DataFrame:
+def numbered(pieces: DataFrame, parts: int) -> DataFrame:
     """pieces with number: 0, 1, 2 ... within a size, by hash part, id and piece.
 
     A size may be that of a third of all rows: numbers are counted within
