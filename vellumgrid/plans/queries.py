@@ -6,6 +6,7 @@ their labels in one spelling.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -485,6 +486,30 @@ def page_layout(spark, d):
     return order.reading_order(merged, PAGE).select(*PAGE, "order_idx", "bbox_id", "label_id", "proba", "bbox.*")
 
 
+@query("SELECT DISTINCT elem_id, label, ocr.is_ocr AS is_ocr FROM elements")
+def stream_once(spark, d):
+    """The elements as a stream, each delivered once, drained into the shared folder.
+
+    The path is a pattern, so that one file serves as well as a folder.  The watermark outlasts the data, so late rows are kept as the SQL keeps them.
+    """
+    from vellumgrid.runtime import shared_dir
+    from vellumgrid.streaming import inbox
+
+    schema = load(spark, d, "elements").schema
+    at = f"{shared_dir(spark)}/vellumgrid/stream-{uuid.uuid4().hex}"
+    rows = inbox.once(inbox.element_stream(spark, f"{d}/elements.parque[t]", schema), delay="36500 days").select("elem_id", "label", F.col("ocr.is_ocr").alias("is_ocr"))
+    rows.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/rows").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{at}/rows")
+
+
+@query("SELECT (epoch(seen_at)::BIGINT // 86400) * 86400 AS window_start, label, count(*) AS n, count(*) FILTER (WHERE ocr.is_ocr) AS n_ocr FROM elements GROUP BY ALL")
+def stream_windows(spark, d):
+    """Deliveries by day and label, from the stream's windowed count over all that has arrived."""
+    from vellumgrid.streaming import inbox
+
+    return inbox.by_window(load(spark, d, "elements"), width="1 day").withColumn("window_start", F.unix_timestamp("window_start"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

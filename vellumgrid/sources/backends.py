@@ -140,6 +140,31 @@ def render_pages(requests: DataFrame, renderer: RenderBackend | None, size: int
     return requests.select("doc_id", "content", "password", "start", "end").mapInPandas(run, PAGES)
 
 
+CHARS = "doc_id string, page_no int, char_idx int, ch string, x float, y float"
+
+
+def page_chars(requests: DataFrame, reader: "RenderBackend | None") -> DataFrame:
+    """requests(doc_id, content, password, start, end) -> CHARS, by the backend's optional method
+    chars(content, password, page_no) -> [(character, x, y)], in points from the top left."""
+    if reader is None or not hasattr(reader, "chars"):
+        raise BackendMissing("embedded text needs a backend with chars()")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                for n in range(r.start, min(r.end, reader.page_count(r.content, r.password))):
+                    got = reader.chars(r.content, r.password, n)
+                    if got:
+                        yield pd.DataFrame({"doc_id": r.doc_id, "page_no": n, "char_idx": range(len(got)), "ch": [g[0] for g in got], "x": [g[1] for g in got], "y": [g[2] for g in got]})
+
+    return requests.select("doc_id", "content", "password", "start", "end").mapInPandas(run, CHARS)
+
+
+def whole_pages(pages: DataFrame) -> DataFrame:
+    """One crop a page, the page itself: text detection without a layout."""
+    return pages.where("error IS NULL").select("doc_id", "page_no", F.lit(0).alias("order_idx"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("img_w").alias("w"), F.col("img_h").alias("h"))
+
+
 RAW = "doc_id string, page_no int, anchor_idx int, cx float, cy float, w float, h float, scores array<float>, scale float, image_w float, image_h float, error string"
 
 
