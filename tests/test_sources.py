@@ -94,10 +94,24 @@ def test_analyze_end_to_end(spark):
     req = spark.createDataFrame([("d", bytearray(b"ok"), None, 0, 65535), ("e", bytearray(b"bad"), None, 0, 2)], "doc_id string, content binary, password string, start int, end int")
     chars = spark.createDataFrame([("d", 0, 0, "h", 10.0, 10.0), ("d", 0, 1, "i", 11.0, 10.0)], "doc_id string, page_no int, char_idx int, ch string, x float, y float")
     use = pipeline.Backends(*fakes(), ["#", "a", "b", " "])
-    elements, errors = pipeline.analyze(req, use, chars)
-    got = {r["json_name"]: (r["text"], r["is_ocr"]) for r in elements.collect()}
+    result = pipeline.analyze(req, use, chars)
+    got = {r["json_name"]: (r["text"], r["is_ocr"]) for r in result.elements.collect()}
     assert got == {"Text": ("hi", False), "Picture": ("ab\n", True)}
-    assert sorted((r["doc_id"], r["error"]) for r in errors.collect()) == [("d", "no page"), ("e", "no document")]
+    assert sorted((r["doc_id"], r["error"]) for r in result.errors.collect()) == [("d", "no page"), ("e", "no document")]
+
+
+def test_command_line(spark, tmp_path):
+    from vellumgrid.plans import cli
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(b"ok")
+    args = cli.arguments([str(tmp_path / "in"), str(tmp_path / "out"), "--page", "1", "--mode", "Pdf"])
+    cli.run(spark, args, pipeline.Backends(*fakes()))
+    got = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert len(got) == 1 and got[0]["metadata"] == {"pdf_size": [32.0, 32.0], "image_size": [1024.0, 1024.0], "scale": 2.0, "page": 0}
+    assert [e["label"] for e in got[0]["layouts"]] == ["Text", "Picture"] and got[0]["layouts"][0]["text"] == ""
+    with pytest.raises(BackendMissing):
+        cli.run(spark, args)
 
 
 def test_missing_backends_say_so(spark):

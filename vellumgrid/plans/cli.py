@@ -45,10 +45,9 @@ def run(spark: SparkSession, args: argparse.Namespace, use: "pipeline.Backends |
     parser = ParserOptions(clean_text=not args.keep_text_as_is, mode=args.mode)
     asked = wanted.select("doc_id", "content", "password", "r.*")
     chars = backends.page_chars(asked, use.renderer) if args.mode != "Ocr" and hasattr(use.renderer, "chars") else None
-    elements, errors = pipeline.analyze(asked, use, chars, parser)
-    pages = elements.select("doc_id", "page_no").distinct().select("doc_id", "page_no", *[F.lit(None).cast("float").alias(c) for c in ("pdf_w", "pdf_h", "image_w", "image_h", "scale")])
-    export.write_json(export.page_json(elements, pages, ["doc_id", "page_no"]), args.out)
-    for r in errors.groupBy("error").count().orderBy(F.desc("count")).limit(20).collect():
+    got = pipeline.analyze(asked, use, chars, parser)
+    export.write_json(export.page_json(got.elements, got.pages, ["doc_id", "page_no"]), args.out)
+    for r in got.errors.groupBy("error").count().orderBy(F.desc("count")).limit(20).collect():
         log.warning("%d pages or documents failed: %s", r["count"], r["error"])
 
 

@@ -49,8 +49,17 @@ class Backends:
     characters: "list[str] | None" = None
 
 
-def analyze(requests: DataFrame, use: Backends, chars: DataFrame | None = None, parser: ParserOptions = ParserOptions(), lay: LayoutOptions = LayoutOptions(), det: DetectOptions = DetectOptions(), rec: RecognizeOptions = RecognizeOptions()) -> tuple[DataFrame, DataFrame]:
-    """requests(doc_id, content, password, start, end) -> (elements, errors)."""
+@dataclass
+class Result:
+    """elements with labels; errors by document or page; the sizes of the pages that were rendered."""
+
+    elements: DataFrame
+    errors: DataFrame
+    pages: DataFrame
+
+
+def analyze(requests: DataFrame, use: Backends, chars: DataFrame | None = None, parser: ParserOptions = ParserOptions(), lay: LayoutOptions = LayoutOptions(), det: DetectOptions = DetectOptions(), rec: RecognizeOptions = RecognizeOptions()) -> Result:
+    """requests(doc_id, content, password, start, end) -> Result."""
     from vellumgrid.runtime import stash
 
     pages = stash(backends.render_pages(requests, use.renderer, lay.input_size), "pages")
@@ -68,4 +77,6 @@ def analyze(requests: DataFrame, use: Backends, chars: DataFrame | None = None,
         sized = merged.join(pages.select(*PAGE, "img_w", "img_h"), PAGE).withColumn("c", G.crop_rect(F.col("bbox"), F.col("img_w"), F.col("img_h")))
         scores = backends.recognize_regions(pages, sized.select(*PAGE, "order_idx", "det_ord", "c.x", "c.y", "c.w", "c.h"), use.recognizer, rec)
         elements = recognized(elements, scores, use.characters or tokens.dictionary(""), PAGE, parser, rec)
-    return with_label(elements), errors
+    size = F.lit(float(lay.input_size)).cast("float")
+    sizes = pages.where("error IS NULL").select(*PAGE, "pdf_w", "pdf_h", size.alias("image_w"), size.alias("image_h"), "scale")
+    return Result(with_label(elements), errors, sizes)
