@@ -141,6 +141,10 @@ def test_binary_scan(spark, tmp_path):
 def test_stash_and_spread(spark):
     df = runtime.stash(spark.range(10).withColumnRenamed("id", "k"), "t")
     assert df.count() == 10
+    runtime.clear(spark)
+    with pytest.raises(Exception, match="."):
+        df.count()
+    df = spark.range(10)
     assert runtime.spread(df.coalesce(1)).rdd.getNumPartitions() >= runtime.parallelism(spark)
 
 

@@ -492,11 +492,11 @@ def stream_once(spark, d):
 
     The path is a pattern, so that one file serves as well as a folder.  The watermark outlasts the data, so late rows are kept as the SQL keeps them.
     """
-    from vellumgrid.runtime import shared_dir
+    from vellumgrid.runtime import workspace
     from vellumgrid.streaming import inbox
 
     schema = load(spark, d, "elements").schema
-    at = f"{shared_dir(spark)}/vellumgrid/stream-{uuid.uuid4().hex}"
+    at = f"{workspace(spark)}/stream-{uuid.uuid4().hex}"
     rows = inbox.once(inbox.element_stream(spark, f"{d}/elements.parque[t]", schema), delay="36500 days").select("elem_id", "label", F.col("ocr.is_ocr").alias("is_ocr"))
     rows.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/rows").awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{at}/rows")

@@ -3,6 +3,7 @@ small inputs over the cluster, cutting lineage in the shared folder."""
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -17,17 +18,28 @@ _SHIPPED: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Give the package to the Python workers, once for each application: what a
-    worker unpickles may name a module that only the driver's path holds."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
+    worker unpickles may name a module that only the driver's path holds.
+
+    The archive lies in the shared folder.  Without one (a cluster that names
+    none) the workers have to find the package themselves.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
         return
-    root = Path(__file__).resolve().parent
-    path = os.path.join(tempfile.mkdtemp(prefix="vellumgrid-"), "vellumgrid.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    _SHIPPED.add(sc.applicationId)
+    try:
+        path = f"{shared_dir(spark)}/vellumgrid/package-{sc.applicationId}.zip"  # outlives clear()
+    except ValueError:
+        return
+    root, archive = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
-    spark.sparkContext.addPyFile(path)
-    _SHIPPED.add(app)
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(archive.getvalue()))
+    out.close()
+    sc.addPyFile(path)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -70,10 +82,21 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def workspace(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/vellumgrid/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once no DataFrame that reads them is needed."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(workspace(spark))
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends, a lost
     executor costs nothing, later readers still prune columns and push filters."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vellumgrid/{name}-{uuid.uuid4().hex}"
+    path = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
