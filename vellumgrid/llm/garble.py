@@ -128,6 +128,7 @@ class ChainModel:
     runs: Bayes
     words: Bayes
     _runs: dict[str, tuple[str, str]] = field(default_factory=dict, repr=False)
+    _parts: dict[str, tuple[str, str]] = field(default_factory=dict, repr=False)
     _words: dict[str, "dict[str, float]"] = field(default_factory=dict, repr=False)
 
     def judge(self, run: str) -> tuple[str, str]:
@@ -271,15 +272,18 @@ def repair(text: str, model: ChainModel, least_gain: float = 14.0) -> tuple[str
 
 def _loose_chain(text: str, model: ChainModel, least_gain: float) -> tuple[str, list[tuple[int, int]]] | None:
     """The best 8-bit chain of a stretch of words, and the spans of the words."""
-    words = [(m.start(), m.end(), model.leanings(m.group()), len(m.group())) for m in WORDS.finditer(text)]
+    lean = model.leanings
+    if not any(map(lean, WORDS.findall(text))):
+        return None
+    words = [(m.start(), m.end(), lean(m.group()), len(m.group())) for m in WORDS.finditer(text)]
     best: tuple[float, str, list[tuple[int, int]], int] | None = None
-    for name in {n for _, _, lean, _ in words for n in lean} - {LOST}:
+    for name in {n for _, _, own, _ in words for n in own} - {LOST}:
         latin = name.startswith(("cp1250", "iso8859"))
         total, spans, symbols = 0.0, [], False
-        for a, b, lean, size in words:
+        for a, b, own, size in words:
             if size == 1:  # no evidence
                 continue
-            gain = lean.get(name, -12.0)
+            gain = own.get(name, -12.0)
             if total + gain <= 0:
                 total, spans, symbols = 0.0, [], False
                 continue
@@ -299,6 +303,15 @@ def _loose_chain(text: str, model: ChainModel, least_gain: float) -> tuple[str,
 
 def _partial(run: str, model: ChainModel) -> tuple[str, str]:
     """Judge a run; if it is clean as a whole, judge it without its outer clean marks."""
+    hit = model._parts.get(run)
+    if hit is None:
+        if len(model._parts) > 200_000:
+            model._parts.clear()
+        hit = model._parts[run] = _judge_partial(run, model)
+    return hit
+
+
+def _judge_partial(run: str, model: ChainModel) -> tuple[str, str]:
     chain, fixed = model.judge(run)
     if chain != CLEAN or len(run) < 3:
         return chain, fixed

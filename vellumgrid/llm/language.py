@@ -1,6 +1,6 @@
 """Problem 4: the language of a text, and of each passage of a mixed one.
 
-Multinomial naive Bayes over hashed character n-grams of one to four letters.
+Multinomial naive Bayes over hashed character n-grams of two to four letters.
 The log-probability matrix (bins by languages, of fixed size) is broadcast; a
 batch of texts becomes one array of code points, hashed, looked up and summed
 by segment in numpy.
@@ -26,13 +26,13 @@ from vellumgrid.llm import garble
 from vellumgrid.llm.lookalike import CYRILLIC_LIKE_LATIN, GREEK_LIKE_LATIN, invisible
 
 BITS = 17
-ORDERS = (1, 2, 3, 4)
+ORDERS = (2, 3, 4)
 #: a passage of another language has so many words and letters at least, outside brackets
 LEAST_WORDS, LEAST_LETTERS = 7, 34
 #: natural-log advantage of another language that makes a passage of its own
 LEAST_GAIN = 14.0
 CHUNK = 300_000
-BLOCK = 400_000
+BLOCK = 100_000
 
 # Codes of the languages of the samples, ISO 639-1 and both forms of 639-2.
 ISO_THREE = {"eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "ita": "it", "por": "pt", "nld": "nl", "dut": "nl", "pol": "pl", "rus": "ru"}
@@ -72,12 +72,13 @@ def _hashes(codes: np.ndarray) -> list[np.ndarray]:
     out = []
     h = codes.astype(np.uint32) * np.uint32(0x9E3779B1)
     shift = np.uint32(32 - BITS)
-    for n in ORDERS:
+    for n in range(1, max(ORDERS) + 1):
         if n > 1:
             prev = np.zeros_like(codes, dtype=np.uint32)
             prev[n - 1 :] = codes[: len(codes) - n + 1]
             h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) + prev * np.uint32(0xC2B2AE35) + np.uint32(n)
-        out.append((h * np.uint32(0x27D4EB2F)) >> shift)
+        if n in ORDERS:
+            out.append((h * np.uint32(0x27D4EB2F)) >> shift)
     return out
 
 
@@ -148,8 +149,10 @@ def _judge_chunk(texts: list[str], model: LanguageModel) -> list:
     for a in range(0, len(codes), BLOCK):  # a matrix of one block at a time, however long a text is
         b, lead = min(len(codes), a + BLOCK), min(a, max(ORDERS) - 1)
         total = np.zeros((b - a, len(model.langs)), dtype=np.float32)
+        part = np.empty_like(total)
         for h in _hashes(codes[a - lead : b]):
-            total += model.weights[h[lead:]]
+            np.take(model.weights, h[lead:], axis=0, out=part, mode="clip")  # bins are in range: no check, no copy
+            total += part
         total[~is_letter[a:b]] = 0.0
         first_seg = int(np.searchsorted(begin, a, side="right")) - 1
         inside = begin[(begin > a) & (begin < b)]
