@@ -14,6 +14,7 @@ empty table gives empty results.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -47,7 +48,7 @@ PAGE_NUMBER = regex.compile(
 )
 #: a number that ends a sentence or a bracket begun on the line before
 SENTENCE_NUMBER = regex.compile(r"^[^(\[]*\p{N}+\s?[)\]]|^.*[\p{L}\p{N})\]]\s?[.,;:!?]+$")
-TOKEN = regex.compile(r"[^\s.,;:()\[\]“”„«»‘’'\"…/?{}<>]+")
+TOKEN = re.compile(r"[^\s.,;:()\[\]“”„«»‘’'\"…/?{}<>]+")
 _EDGE = regex.compile(r"^[^\p{L}\p{N}@!+|~]+|[^\p{L}\p{N}@!+|~]+$")
 
 
@@ -76,12 +77,11 @@ def tail(line: str) -> str:
 
 def tokens(text: str) -> list[str]:
     """Lower-case words, hyphenation undone."""
-    out = []
-    for m in TOKEN.findall(BROKEN.sub("", text).lower()):
-        m = _EDGE.sub("", m)
-        if m:
-            out.append(m)
-    return out
+    if "\n" in text:
+        text = BROKEN.sub("", text)
+    words = TOKEN.findall(text.lower())
+    # nearly every word begins and ends with a letter or digit; only the others are trimmed
+    return words if all(map(str.isalnum, words)) else [t for w in words if (t := w if w[0].isalnum() and w[-1].isalnum() else _EDGE.sub("", w))]
 
 
 def grams(df: DataFrame, text: str, scanned: str) -> DataFrame:
@@ -265,7 +265,7 @@ def reflow(df: DataFrame, key: str, text: str, findings: DataFrame, fixes: DataF
 def replace(text: str, fixes: dict[str, str]) -> str:
     """Misread words replaced, capitals of the first letter and of whole words kept."""
 
-    def one(m: "regex.Match[str]") -> str:
+    def one(m: "re.Match[str]") -> str:
         whole = m.group()
         core = _EDGE.sub("", whole)
         form = fixes.get(core.lower())
