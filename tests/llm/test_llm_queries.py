@@ -4,6 +4,13 @@ import pytest
 from vellumgrid.llm import queries as Q
 
 
+def test_p1_equals_sql(spark, d):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW elements AS FROM '{d}/elements.parquet'")
+    got = sorted(tuple(r) for r in Q.queries()["p1_found"](spark, d).collect())
+    assert got and got == sorted(con.sql(Q.oracle_sql()["p1_found"]).fetchall())
+
+
 def test_p5_equals_sql(spark, d):
     con = duckdb.connect()
     for t in ("elements", "pdf_layouts", "split_limits"):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,8 +157,32 @@ def queries() -> dict:
     return {"p6_found": p6_found, "p6_repaired": p6_repaired, "p7_assign": p7_assign, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_clean": p9_clean, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces}
 
 
+def _p1_sql() -> str:
+    """The same classes by nested SQL functions: unseen characters out, look-alikes translated, ligatures opened, marks composed."""
+    like = {x[0]: x[1] for g in (lookalike.GREEK_LIKE_LATIN, lookalike.CYRILLIC_LIKE_LATIN, lookalike.OTHER_LIKE, lookalike.PUNCTUATION_LIKE) for x in g.split(" ") if len(x) == 2}
+    like |= {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
+    like |= {chr(c): " " for c in range(0x80, 0x3001) if unicodedata.category(chr(c)) == "Zs" and c != 0x1680}
+    for c in range(0x370, 0x530):  # composed letters of other scripts, by their parts
+        parts = unicodedata.decomposition(chr(c)).split()
+        if len(parts) == 2 and parts[0][0] != "<" and (base := like.get(chr(int(parts[0], 16)))):
+            whole = unicodedata.normalize("NFC", base + chr(int(parts[1], 16)))
+            if len(whole) == 1:
+                like[chr(c)] = whole
+    like = {a: b for a, b in like.items() if a != b}
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    unseen = "[\\x{ad}\\x{34f}\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{2060}-\\x{2064}\\x{fe00}-\\x{fe0f}\\x{feff}]"
+    k = f"translate(regexp_replace(text, '{unseen}', '', 'g'), {quoted(''.join(like))}, {quoted(''.join(like.values()))})"
+    for a, b in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ĳ", "ij"), ("Ĳ", "IJ")):
+        k = f"replace({k}, '{a}', '{b}')"
+    return f"""
+        WITH c AS (SELECT elem_id, text, nfc_normalize({k}) AS k FROM (SELECT DISTINCT elem_id, text FROM elements WHERE text <> ''))
+        SELECT DISTINCT least(a.elem_id, b.elem_id) AS elem_id_a, greatest(a.elem_id, b.elem_id) AS elem_id_b
+        FROM c a JOIN c b ON a.k = b.k AND a.text < b.text AND a.elem_id <> b.elem_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _p1_sql(),
         "p5_found": """
             SELECT DISTINCT 'element' AS item_kind, elem_id AS item_id FROM elements
             WHERE length(text) > (SELECT max_chars FROM split_limits WHERE item_kind = 'element')
