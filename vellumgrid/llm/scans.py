@@ -31,7 +31,7 @@ STROKES = (("m", "rri"), ("n", "ri"), ("w", "vv"), ("u", "ii"), ("d", "ci"), ("h
 CLASSES = {"e": "c", "0": "o", "о": "o", "@": "a", "!": "i", "1": "i", "l": "i", "|": "i", "+": "t", "5": "s", "6": "b", "б": "b", "9": "g", "8": "в", "3": "з", "и": "н", "п": "л", "~": ""}
 #: a frequent form: so often in clean text, and so many times as often there as the rare form
 LEAST_COUNT, LEAST_RATIO = 3, 20
-#: at most so many of the most frequent sound words are broadcast to spare their occurrences the join
+#: sound words of at least this part of all occurrences (so at most as many words) are broadcast, to spare theirs the join
 SOUND_WORDS = 20_000
 #: a table of candidates of at most so many rows is broadcast; a larger one is shuffled
 BROADCAST_ROWS = 200_000
@@ -133,8 +133,12 @@ def misreads(df: DataFrame, key: str, text: str, counts: DataFrame) -> DataFrame
     """(id, rare, form): the misread words of scanned texts, with the form to put in their place."""
     pairs = stash(confusions(counts), "confusions")
     n = pairs.count()
-    sound = counts.where(~F.col("gram").contains(" ")).join(_sized(pairs.select(F.col("rare").alias("gram")).distinct(), n), "gram", "left_anti")
-    known = df.sparkSession.sparkContext.broadcast({r[0] for r in sound.orderBy(F.desc("n"), "gram").limit(SOUND_WORDS).select("gram").collect()})
+    words = counts.where(~F.col("gram").contains(" "))
+    total = words.agg(F.sum("n")).first()[0] or 0
+    # at most SOUND_WORDS words can each have that share of all occurrences: the set is bounded whatever the corpus
+    often = words.where(F.col("n") * SOUND_WORDS >= total).select("gram")
+    sound = often.join(pairs.select(F.col("rare").alias("gram")).distinct(), "gram", "left_anti")
+    known = df.sparkSession.sparkContext.broadcast({r[0] for r in sound.collect()})
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
