@@ -63,3 +63,16 @@ def test_every_notice_pattern_has_a_stem():
     """The automaton must not hide what the patterns would find."""
     for t in CASES:
         assert R.candidate_lines(t), t
+
+
+LATIN = [
+    "Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.", "Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.",
+    "Sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.", "Sapien felis orci.\nPorta felis nulla, orci, massa.", "Massa felis porta “with a quotation of words that are not Latin at all” quam.",
+]
+
+
+def test_filler_latin_by_all_its_words(spark):
+    """No two of its words are needed that an automaton knows: every word of the list counts."""
+    other = ["Felis is a genus of cats, and porta, quam and massa are words of another kind.", "Il est de la commune, et non de la ville, qui est au nord."]
+    df = spark.createDataFrame([(i, t, "h", i) for i, t in enumerate(LATIN + other)], "k long, t string, s string, p long")
+    assert {r["id"] for r in R.residue(df, "k", "t", "s", "p").collect()} == set(range(len(LATIN)))

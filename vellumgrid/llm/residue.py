@@ -4,8 +4,8 @@ Lines are normalised (case, digits, inserted proper names) and counted by host.
 A line that recurs on a share of the host's documents is boilerplate and is
 subtracted, unless it is a notice by its own form.  A document is residue when
 what is left of it holds slot, filler, error or script-required evidence.
-One multi-pattern automaton finds the lines that can hold evidence, Catalyst judges
-them; only those few lines are shuffled.
+One multi-pattern automaton and a count of the words of filler Latin find the lines
+that can hold evidence, Catalyst judges them; only those few lines are shuffled.
 
 Defined cases: a null or empty text is no case; a null host counts as a host of
 its own; repeated rows of an id give it once; null ids are kept apart and never
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,8 +130,8 @@ STEMS = (
     "indisponível|página pedida|tente de novo|servizio al momento|pagina richiesta|non raggiungibile|niet bereikbaar|gevraagde pagina|niet beschikbaar|chwilowo|nie znaleziono|"
     "niedostępna (kod|временно недоступен|страница не найдена|повторите попытку|javascript|scripts|cookies|noscript|browser does|checking your browser"
 ).split("|")
-#: single words of filler Latin of which four make a case
-LATIN_STEMS = "lorem|ipsum|amet|nibh|orci |risus |lectus|augue|consectetur|tempor |vitae|nulla ".split("|")
+#: filler Latin: at least so many of its words, and at least half of the line's
+LEAST_LATIN = 4
 
 
 def _slot_triggers() -> dict[str, re.Pattern[str]]:
@@ -153,11 +154,9 @@ def _finder() -> ahocorasick.Automaton:
     if not _FINDER:
         a = ahocorasick.Automaton()
         for stem in STEMS:
-            a.add_word(stem, (len(stem), None, 4))
-        for stem in LATIN_STEMS:
-            a.add_word(stem, (len(stem), None, 1))
+            a.add_word(stem, (len(stem), None))
         for literal, pattern in _slot_triggers().items():
-            a.add_word(literal, (len(literal), pattern, 4))
+            a.add_word(literal, (len(literal), pattern))
         a.make_automaton()
         _FINDER.append(a)
     return _FINDER[0]
@@ -167,30 +166,47 @@ def _finder() -> ahocorasick.Automaton:
 HIDDEN = re.compile(r"<!--.*?-->|<(nowiki|syntaxhighlight|source|code|pre)\b[^>]*>(?!\s*(?:Put|Insert) [\w -]*text here\s*<).*?</\1>", re.S)
 
 
+QUOTED = r"“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]|(?<!\w)\"[^\"\n]{1,120}\"(?!\w)"
+_QUOTED = re.compile(QUOTED, re.A)  # as the JVM reads it
+_LATIN = frozenset(FILLER_LATIN.split())
+_ASCII_WORD = re.compile(r"[a-z0-9_]+")
+_WORD = regex.compile(r"[\p{L}0-9]+")
+
+
+def filler_latin(line: str) -> bool:
+    """The rule of filler Latin on a line in lower case, by all its words.
+
+    Words end where ASCII does, so that none is missed that the JVM counts; it judges again.
+    """
+    if sum(map(_LATIN.__contains__, _ASCII_WORD.findall(line))) < LEAST_LATIN:
+        return False
+    said = _QUOTED.sub(" ", line)
+    latin = sum(map(_LATIN.__contains__, _ASCII_WORD.findall(said)))
+    return latin >= LEAST_LATIN and latin * 2 >= len(_WORD.findall(said))
+
+
 def candidate_lines(text: str) -> list[str]:
-    """The lines of a text that hold a literal of some evidence, without comments and code."""
+    """The lines of a text that hold a literal of some evidence or are filler Latin, without comments and code."""
     if "<" in text:
         text = HIDDEN.sub(" ", text)
     low = text.lower()
     if len(low) != len(text):  # a few capitals grow in lower case
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    points: dict[int, int] = {}
+    found = {k for k, line in enumerate(low.split("\n")) if filler_latin(line)}
     starts: list[int] | None = None
-    for end, (n, pattern, weight) in _finder().iter(low):
+    for end, (n, pattern) in _finder().iter(low):
         at = end + 1 - n
         if pattern is not None and not pattern.match(low, at):
             continue
         if starts is None:
             starts = [0] + [m.end() for m in re.finditer("\n", low)]
-        line = bisect_right(starts, at) - 1
-        points[line] = points.get(line, 0) + weight
-    if starts is None:
+        found.add(bisect_right(starts, at) - 1)
+    if not found:
         return []
     lines = text.split("\n")
-    return [lines[k] for k in sorted(points) if points[k] >= 2]
+    return [lines[k] for k in sorted(found)]
 
 
-QUOTED = r"“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]|(?<!\w)\"[^\"\n]{1,120}\"(?!\w)"
 INSERTED_NAME = r"(?<=[\p{L}\d,;:.)] )\p{Lu}\p{Ll}{2,}(?: \([\p{L} ]+\))?(?= )"
 
 
@@ -224,7 +240,7 @@ def evidence_lines(df: DataFrame, key: str, text: str, host: str, page: str | No
         .when(either(SCRIPT), "script")
         .when(either(FILLER), "filler")
         .when(F.col("said").rlike(SLOT) & F.regexp_replace("said", MENTION, " ").rlike(SLOT), "slot")
-        .when((latin >= 4) & (latin * 2 >= words), "filler")
+        .when((latin >= LEAST_LATIN) & (latin * 2 >= words), "filler")
     )
     # through a generated row: no filter is pushed below the expressions and repeats them
     judged = lines.select("id", "host", "page", "normal", F.inline(F.array(F.struct(kind.alias("evidence")))))
