@@ -26,3 +26,22 @@ def test_query_runs(spark, d, name):
     assert rows
     if name.endswith("_found"):
         assert len(set(rows)) == len(rows)
+
+
+@pytest.mark.parametrize("name", ["p1_canonical", "p2_statistics", "p3_repaired", "p4_languages"])
+def test_whole_result_covers_every_text(spark, d, name):
+    """The operator's own result, not only its cases: each element with text, whatever its label, once."""
+    got = [r["elem_id"] for r in Q.queries()[name](spark, d).select("elem_id").collect()]
+    assert sorted(got) == [r[0] for r in duckdb.sql(f"SELECT DISTINCT elem_id FROM '{d}/elements.parquet' WHERE text <> '' ORDER BY 1").fetchall()]
+
+
+def test_whole_results_hold_the_cases(spark, d):
+    q = Q.queries()
+    canonical = {r["elem_id"]: r["canonical_text"] for r in q["p1_canonical"](spark, d).collect()}
+    assert all(canonical[r[0]] == canonical[r[1]] for r in q["p1_found"](spark, d).collect())
+    kinds = q["p2_statistics"](spark, d).where("n_words IS NOT NULL AND label = 'Text' AND text_kind <> 'prose'").collect()
+    assert {r["elem_id"] for r in kinds} == {r[0] for r in q["p2_found"](spark, d).collect()}
+    repaired = q["p3_repaired"](spark, d).where("chain IS NOT NULL AND repaired_text IS NOT NULL").collect()
+    assert {r["elem_id"] for r in repaired} == {r[0] for r in q["p3_found"](spark, d).collect()}
+    judged = {r["elem_id"]: r for r in q["p4_languages"](spark, d).collect()}
+    assert all(lang in {p["language"] for p in judged[k]["passages"]} and judged[k]["language_confidence"] is not None for k, lang in q["p4_found"](spark, d).collect())

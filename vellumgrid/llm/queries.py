@@ -20,6 +20,15 @@ def sample_texts(spark: SparkSession, d: str) -> list[tuple[str, str]]:
     return [(r[0], r[1]) for r in rows.orderBy("lang", "text").limit(MAX_SAMPLES).collect()]
 
 
+def all_texts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """(elem_id, text, columns...) of every element with text, redelivered rows once."""
+    return spread(load(spark, d, "elements").where("text <> ''").select("elem_id", "text", *columns).distinct())
+
+
+def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.with_canonical(all_texts(spark, d), "text").select("elem_id", "canonical_text")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     rows = spread(load(spark, d, "elements").select("elem_id", "text"))
     return lookalike.look_alike_pairs_of(rows, "elem_id", "text").select(F.col("a").alias("elem_id_a"), F.col("b").alias("elem_id_b"))
@@ -30,12 +39,23 @@ def quality_rules(spark: SparkSession, d: str) -> tuple[list[str], quality.RuleL
     return common, quality.fit(spark, load(spark, d, "lang_samples"), common, max_samples=MAX_SAMPLES)
 
 
+def p2_statistics(spark: SparkSession, d: str) -> DataFrame:
+    common, rules = quality_rules(spark, d)
+    return quality.with_kind(all_texts(spark, d, "label"), "text", common, rules).select("elem_id", "label", *quality.STATS, "text_kind")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     common, rules = quality_rules(spark, d)
     rows = spread(load(spark, d, "elements").select("elem_id", "label", "text").where("label = 'Text' AND text <> ''"))
     return quality.with_kind(rows, "text", common, rules, keep=False).where("text_kind <> 'prose'").select("elem_id").distinct()
 
 
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Every text as restored, with its chain (null if clean)."""
+    model = garble.fit([t for _, t in sample_texts(spark, d)])
+    return garble.with_repair(all_texts(spark, d), "text", model).select("elem_id", "chain", "repaired_text")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     model = garble.fit([t for _, t in sample_texts(spark, d)])
     rows = spread(load(spark, d, "elements").select("elem_id", "text"))
@@ -54,14 +74,19 @@ def running_texts(spark: SparkSession, d: str, *columns: str, where: str = "true
     return kind.where("text_kind IS NOT NULL AND (label <> 'Text' OR text_kind = 'prose')")
 
 
-def p4_languages(spark: SparkSession, d: str) -> DataFrame:
+def judged_languages(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
     samples = sample_texts(spark, d)
-    rows = running_texts(spark, d, "lang")
     return language.with_language(rows, "text", language.fit(samples), garble.fit([t for _, t in samples]))
 
 
+def p4_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Language, confidence and passages of every text; offsets are into its repaired_text of p3_repaired."""
+    rows = all_texts(spark, d, "label", "lang")
+    return judged_languages(spark, d, rows).select("elem_id", "label", "lang", "language", "language_confidence", "passages")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    judged = p4_languages(spark, d).select("elem_id", "lang", F.array_distinct(F.transform("passages", lambda p: p["language"])).alias("langs"))
+    judged = judged_languages(spark, d, running_texts(spark, d, "lang")).select("elem_id", "lang", F.array_distinct(F.transform("passages", lambda p: p["language"])).alias("langs"))
     one = F.size("langs") == 1
     wrong = ~F.coalesce(language.named_language(F.col("lang")) == F.element_at("langs", 1), F.lit(False))
     return judged.where((one & wrong) | (F.size("langs") > 1)).select("elem_id", F.explode("langs").alias("lang")).distinct()
@@ -154,7 +179,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p6_found": p6_found, "p6_repaired": p6_repaired, "p7_assign": p7_assign, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_clean": p9_clean, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces}
+    return {"p6_found": p6_found, "p6_repaired": p6_repaired, "p7_assign": p7_assign, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_clean": p9_clean, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p1_canonical": p1_canonical, "p2_statistics": p2_statistics, "p3_repaired": p3_repaired, "p4_languages": p4_languages}
 
 
 def _p1_sql() -> str:
