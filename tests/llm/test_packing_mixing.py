@@ -119,3 +119,10 @@ def test_mix(spark):
     assert M.mix(df.where("false"), "k", "s", "n", targets).count() == 0
     with pytest.raises(ValueError):
         M.mix(df, "k", "s", "n", {"a": (0.5, 0)})
+
+
+def test_sizes_beyond_the_window_fill_the_slack():
+    """Only one odd size, which no window of 64 holds, makes an odd sum."""
+    left = {s: 3 for s in range(2, 1200, 2)} | {301: 1}
+    got = P._best_subset(left, 1501, 64)
+    assert sum(s * n for s, n in got.items()) == 1501 and got[301] == 1

@@ -4,8 +4,9 @@ Sizes are tokens of a public tokenizer.  Texts longer than the capacity are cut
 into full pieces and a rest.  All sizes together are a histogram of at most
 `capacity` counts, whatever the number of texts: minimum bin slack works on the
 histogram.  For each container the largest size left opens it; a bitset
-subset-sum dynamic program over a window of sizes picks the multiset that fills
-the rest closest to capacity; the pattern repeats as often as the counts allow.
+subset-sum dynamic program over a window of sizes, and over all sizes where the
+window leaves slack, picks the multiset that fills the rest closest to capacity;
+the pattern repeats as often as the counts allow.
 Item numbers within a size, counted in parallel, then meet their slots in a join.
 
 Defined cases: null ids and null texts are no items; an empty text has no tokens
@@ -85,9 +86,10 @@ def with_tokens(df: DataFrame, text: str, out: str = "n_tokens", path: str = VOC
 def fill(counts: dict[int, int], capacity: int, window: int = 64) -> list[tuple[int, dict[int, int]]]:
     """Minimum bin slack on a histogram: (containers of this pattern, {size: items in each}).
 
-    The largest size left opens a container; over the `window` most plentiful
-    and the largest sizes that fit beside it, a bitset of reachable sums finds
-    the fullest filling, and backtracking finds its multiset.
+    The largest size left opens a container; over the sizes that fit beside it
+    a bitset of reachable sums finds the fullest filling, and backtracking finds
+    its multiset.  The `window` most plentiful and evenly spaced sizes are tried
+    first, all sizes where those leave slack.
     """
     left = {s: n for s, n in counts.items() if n > 0 and s > 0}
     if any(s > capacity for s in left):
@@ -113,14 +115,19 @@ def fill(counts: dict[int, int], capacity: int, window: int = 64) -> list[tuple[
 def _best_subset(left: dict[int, int], room: int, window: int) -> dict[int, int]:
     """The multiset of available sizes whose sum is closest to room from below."""
     fit = [s for s, n in left.items() if n and s <= room]
-    if not fit:
-        return {}
     if len(fit) > window:
         common = sorted(fit, key=lambda s: (-left[s], -s))[: window // 2]
         rest = sorted(set(fit) - set(common), reverse=True)
         step = max(1, len(rest) // (window - len(common)))
-        fit = common + rest[::step][: window - len(common)]
-    fit.sort(reverse=True)
+        chosen = _subset(left, room, common + rest[::step][: window - len(common)])
+        if sum(s * n for s, n in chosen.items()) == room:
+            return chosen
+    return _subset(left, room, fit)
+
+
+def _subset(left: dict[int, int], room: int, fit: list[int]) -> dict[int, int]:
+    """The multiset of the sizes fit whose sum is closest to room from below."""
+    fit = sorted(fit, reverse=True)
     mask = (1 << (room + 1)) - 1
     reach, trail = 1, []
     for s in fit:
