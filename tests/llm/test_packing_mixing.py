@@ -126,3 +126,10 @@ def test_sizes_beyond_the_window_fill_the_slack():
     left = {s: 3 for s in range(2, 1200, 2)} | {301: 1}
     got = P._best_subset(left, 1501, 64)
     assert sum(s * n for s, n in got.items()) == 1501 and got[301] == 1
+
+
+def test_endless_stretch_counts_as_the_tokenizer_does():
+    """Nothing is lost to cuts, neither within the stretch nor in the text around it."""
+    prose = "A text of ordinary words, one like the other. " * 900
+    for text in ("!?" * 50_000, prose + "x" * 20_001 + " " + prose, "".join(chr(97 + i * i % 26) for i in range(30_011))):
+        assert P.count_tokens(text) == len(P.encoding().encode_ordinary(text))
