@@ -51,3 +51,10 @@ def test_empty_and_long(spark):
     none = own.where("false")
     assert S.misreads(none, "k", "text", S.grams(none, "text", "s")).count() == 0
     assert S.reflow(none, "k", "text", S.line_findings(none, "k", "text", "doc", S.header_lines(none, "doc", "text")), S.misreads(none, "k", "text", counts)).count() == 0
+
+
+def test_sha_read_as_te(spark):
+    rows = [(i, "Старый шлюз закрыт.", False) for i in range(30)] + [(100, "Старый тлюз закрыт.", True)]
+    df = spark.createDataFrame(rows, "k long, t string, s boolean")
+    got = S.misreads(df.where("s"), "k", "t", S.grams(df, "t", "s")).collect()
+    assert [tuple(r) for r in got] == [(100, "тлюз", "шлюз")]

@@ -28,7 +28,7 @@ from vellumgrid.runtime import stash
 
 # Glyphs that scanners take for one another, each drawn with the same strokes.
 STROKES = (("m", "rri"), ("n", "ri"), ("w", "vv"), ("u", "ii"), ("d", "ci"), ("h", "ii"), ("ы", "ьi"))
-CLASSES = {"e": "c", "0": "o", "о": "o", "@": "a", "!": "i", "1": "i", "l": "i", "|": "i", "+": "t", "5": "s", "6": "b", "б": "b", "9": "g", "8": "в", "3": "з", "и": "н", "п": "л", "~": ""}
+CLASSES = {"e": "c", "0": "o", "о": "o", "@": "a", "!": "i", "1": "i", "l": "i", "|": "i", "+": "t", "5": "s", "6": "b", "б": "b", "9": "g", "8": "в", "3": "з", "и": "н", "п": "л", "ш": "т", "~": ""}
 #: a frequent form: so often in clean text, and so many times as often there as the rare form
 LEAST_COUNT, LEAST_RATIO = 3, 20
 #: sound words of at least this part of all occurrences (so at most as many words) are broadcast, to spare theirs the join
