@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vellumgrid import runtime
 from vellumgrid.operators import draw
-from vellumgrid.operators.options import BackendMissing
+from vellumgrid.operators.options import BackendMissing, ParserOptions
 from vellumgrid.plans import pipeline
 from vellumgrid.sources import backends, export, requests
 
@@ -162,3 +162,13 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["label"], r["n"], r["n_ocr"]) for r in spark.sql("SELECT * FROM windows_").collect()) == [("Table", 1, 0), ("Text", 3, 2)]
+
+
+@pytest.mark.parametrize("mode", ["Ocr", "Auto"])
+def test_no_detector_says_so(spark, mode):
+    empty = spark.createDataFrame([], "doc_id string, content binary, password string, start int, end int")
+    renderer, layout, _, recognizer = fakes()
+    use = pipeline.Backends(renderer, layout, None, recognizer)
+    with pytest.raises(BackendMissing):
+        pipeline.analyze(empty, use, parser=ParserOptions(mode=mode))
+    assert pipeline.analyze(empty, use, parser=ParserOptions(mode="Pdf")).elements.count() == 0

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vellumgrid.functions import geometry as G
 from vellumgrid.functions.labels import with_label
 from vellumgrid.operators import decode, lines, merge, order, textsource, tokens
-from vellumgrid.operators.options import DetectOptions, LayoutOptions, ParserOptions, RecognizeOptions
+from vellumgrid.operators.options import BackendMissing, DetectOptions, LayoutOptions, ParserOptions, RecognizeOptions
 from vellumgrid.sources import backends
 
 PAGE = ["doc_id", "page_no"]
@@ -62,13 +62,15 @@ def analyze(requests: DataFrame, use: Backends, chars: DataFrame | None = None,
     """requests(doc_id, content, password, start, end) -> Result."""
     from vellumgrid.runtime import stash
 
+    if parser.mode != "Pdf" and use.detector is None:
+        raise BackendMissing(f"mode {parser.mode} needs an InferBackend for text detection")
     pages = stash(backends.render_pages(requests, use.renderer, lay.input_size), "pages")
     raw = backends.infer_layout(pages, use.layout, lay)
     errors = pages.where("error IS NOT NULL").select(*PAGE, "error").unionByName(raw.where("error IS NOT NULL").select(*PAGE, "error"))
     spark = requests.sparkSession
     chars = spark.createDataFrame([], "doc_id string, page_no int, char_idx int, ch string, x float, y float") if chars is None else chars
     elements = stash(texts(layout(raw.where("error IS NULL"), PAGE, lay), chars, PAGE, parser), "elements")
-    if parser.mode != "Pdf" and use.detector is not None:
+    if parser.mode != "Pdf":
         wanted = elements.where("needs_ocr").join(pages.select(*PAGE, "scale", "img_w", "img_h"), PAGE)
         rect = wanted.withColumn("c", G.crop_rect(G.scale(F.col("bbox"), F.col("scale")), F.col("img_w"), F.col("img_h"))).select(*PAGE, "order_idx", "c.x", "c.y", "c.w", "c.h")
         found = backends.detect_regions(pages, rect, use.detector, det)
