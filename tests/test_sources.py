@@ -172,3 +172,10 @@ def test_no_detector_says_so(spark, mode):
     with pytest.raises(BackendMissing):
         pipeline.analyze(empty, use, parser=ParserOptions(mode=mode))
     assert pipeline.analyze(empty, use, parser=ParserOptions(mode="Pdf")).elements.count() == 0
+
+
+def test_start_beyond_the_pages_is_an_error(spark):
+    rows = [(k, bytearray(b"ok"), None, start, 65535) for k, start in (("beyond", 3), ("at the end", 2), ("within", 0))]
+    req = spark.createDataFrame(rows, "doc_id string, content binary, password string, start int, end int")
+    got = backends.render_pages(req, fakes()[0]).where("error IS NOT NULL").select("doc_id", "page_no", "error").collect()
+    assert sorted(tuple(r) for r in got) == [("beyond", None, "start 3 beyond 2 pages"), ("within", 1, "no page")]

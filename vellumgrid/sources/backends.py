@@ -116,7 +116,8 @@ PAGES = "doc_id string, page_no int, pdf_w float, pdf_h float, scale float, img_
 
 
 def render_pages(requests: DataFrame, renderer: RenderBackend | None, size: int = 1024) -> DataFrame:
-    """requests(doc_id, content, password, start, end) -> PAGES; a page that fails carries its error instead of an image."""
+    """requests(doc_id, content, password, start, end) -> PAGES; a page that fails carries its error instead of an image,
+    a document that fails or has fewer pages than where the range starts is one such row."""
     if renderer is None:
         raise BackendMissing("rendering needs a RenderBackend")
 
@@ -125,7 +126,10 @@ def render_pages(requests: DataFrame, renderer: RenderBackend | None, size: int
         for b in batches:
             for r in b.itertuples(index=False):
                 try:
-                    last = min(r.end, renderer.page_count(r.content, r.password))
+                    count = renderer.page_count(r.content, r.password)
+                    if count < r.start:  # as many is no error
+                        raise ValueError(f"start {r.start} beyond {count} pages")
+                    last = min(r.end, count)
                 except Exception as e:  # noqa: BLE001  (any fault of the file fails the document, not the job)
                     yield pd.DataFrame([(r.doc_id, None, None, None, None, None, None, None, str(e))], columns=names)
                     continue
