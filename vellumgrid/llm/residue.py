@@ -1,11 +1,16 @@
 """Problem 9: unfilled template slots, filler, error pages and script notices.
 
-Lines are normalised (case, digits, inserted proper names) and counted by host.
-A line that recurs on a share of the host's documents is boilerplate and is
-subtracted, unless it is a notice by its own form.  A document is residue when
-what is left of it holds slot, filler, error or script-required evidence.
-One multi-pattern automaton and a count of the words of filler Latin find the lines
-that can hold evidence, Catalyst judges them; only those few lines are shuffled.
+All lines are normalised (case, digits, spaces) and counted by host and page in
+the JVM.  A line that stands on a given share of a host's pages is boilerplate
+and is subtracted; where that leaves nothing, the text itself is the notice and
+stays.  A document is residue when what is left of it holds slot, filler, error
+or script-required evidence.
+
+Slots are recognised by their syntax.  The other kinds are recognised by pairs of
+general words close to one another (what fails and how, what is needed and that
+it is, what is filled in and that it is a sample), never by whole messages.  One
+multi-pattern automaton finds the rarer word of each pair; only around it is the
+other sought.
 
 Defined cases: a null or empty text is no case; a null host counts as a host of
 its own; repeated rows of an id give it once; null ids are kept apart and never
@@ -24,8 +29,16 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumgrid.runtime import stash
+
 #: boilerplate: at least so many pages of a host, and so large a share of them
-LEAST_PAGES, LEAST_SHARE = 4, 0.004
+LEAST_PAGES, LEAST_SHARE = 10, 0.02
+#: recurrent lines of at most so many rows are broadcast; a larger table is shuffled
+BROADCAST_ROWS = 200_000
+#: the two words of a pair have at most so many characters between them
+NEAR = 44
+#: an error or script notice has a pair for so many words at least; a long paragraph that holds one in passing is an article
+WORDS_A_PAIR = 30
 
 # Element names of HTML and wiki markup, which are no slots.
 TAGS = (
@@ -48,6 +61,13 @@ FILLER_LATIN = (
     "tincidunt tortor tristique turpis ullamco ultrices ultricies urna ut varius vehicula vel velit veniam venenatis vestibulum vitae vivamus viverra volutpat voluptate vulputate"
 )
 
+# Behaviour switches of wiki markup, written between double underscores.
+SWITCHES = (
+    "NOTOC FORCETOC TOC NOEDITSECTION NEWSECTIONLINK NONEWSECTIONLINK NOGALLERY HIDDENCAT EXPECTUNUSEDCATEGORY EXPECTUNUSEDTEMPLATE NOCONTENTCONVERT NOCC "
+    "NOTITLECONVERT NOTC START END INDEX NOINDEX STATICREDIRECT EXPECTWITHOUTSCANS NOGLOBAL DISAMBIG ARCHIVEDTALK NOTALK"
+)
+#: the name of a slot, in small letters or in capitals
+_NAME = "(?:[a-z][a-z_]*|[A-Z][A-Z_]+)"
 #: what a page shows where a value should stand; read as stored, case counts
 SLOT = "|".join(
     (
@@ -56,82 +76,73 @@ SLOT = "|".join(
         r"\{\{\s*\w+(?:\.\w+)+\s*\}\}",
         r"(?<![\w\\{}$])\{[a-z][a-z_]*\}(?!\})",
         r"@@\w+@@",
-        r"(?<![\w%])%(?:[sd]|[a-z]\w*%)(?!\w)",
+        r"(?<![\w%])%(?:[sd]|[A-Za-z]\w*%)(?!\w)",
         r"(?<![\w$])\$[0-9](?![\w.,%]*[\d%]|\s*(?:million|billion|thousand))",
         r"(?<=\s)\?{3}(?=[\s.,;]|$)",
         r"(?<!\w)(?:NULL|undefined|nan|NaN|#N/A|#REF!|#VALUE!)(?!\w)",
         r"\[object Object\]",
-        r"(?<=[\p{Ll},] )None(?! of\b)(?=[.,]|\s\p{Ll})",
+        r"(?<=[\p{Ll},] )None(?! of\b)(?=[.,]|\s\p{L})",
         r"<%.{0,80}?%>",
         r"(?<![\w/])X{4}(?!\w)",
         r"\[(?:INSERT|ENTER|YOUR) [^\]]{1,60}\]|\[[\p{L}_ ]{1,40} goes here\]",
-        r"(?<!\()\(\([a-z]\w*\)\)(?!\))",
-        r"(?<!\w)__[a-z]\w*?__(?!\w)",
-        r"(?<![\w&#])#[a-z][a-z_]*#(?!\w)",
-        rf"<(?!/)(?!(?:{TAGS.replace(' ', '|')})\b)[a-z][a-z_]*>",
+        r"(?<!\()\(\([A-Za-z]\w*\)\)(?!\))",
+        rf"(?<!\w)__(?!(?:{SWITCHES.replace(' ', '|')})__)[A-Za-z]\w*?__(?!\w)",
+        rf"(?<![\w&#])#{_NAME}#(?!\w)",
+        rf"<(?!/)(?!(?i:{TAGS.replace(' ', '|')})\b){_NAME}>",
     )
 )
 #: a slot's mark that is only spoken of
 MENTION = rf"(?:\b(?:such as|like|called|named|writing|written|the (?:mark|string|word|token|placeholder)|e\.g\.)\s+)(?:{SLOT})"
 
-#: filler and instructions to the author; lower case
-FILLER = "|".join(
-    (
-        r"\b(?:text|heading|title|caption|name|content|words?|paragraph) (?:goes|go) here\b|\byour (?:text|heading|title|own words|caption)\b|replace this (?:text|paragraph|section)",
-        r"\bsample (?:paragraph|picture|text|image|heading)\b|placeholder (?:text|image)\b|\bput (?:\w+ )?text here\b|\b(?:slanted|strong|bold|italic|big|small|superscript|subscript) text(?: here)?''|\bname of (?:the )?target page\b|describe the picture\b|\blink title\]|insert (?:formula|non-formatted text) here",
-        r"\bto be (?:replaced|added by|written)\b|\bcoming soon\b|\bwrite the introduction\b|\bintroduction of the article here|^\W*todo\b\W|\bcontent to be added\b",
-        r"beispieltext|platzhaltertext|wird noch ersetzt|hier bitte den text|den text der einleitung eintragen",
-        r"texte provisoire|à remplacer\b|écrivez ici|texte d['’]exemple",
-        r"texto de ejemplo|pendiente de sustituir|escriba aquí",
-        r"texto provisório|a substituir\.|escreva aqui|texto de exemplo",
-        r"testo segnaposto|da sostituire\.|scrivere qui|testo di esempio",
-        r"voorbeeldtekst|nog te vervangen|schrijf hier",
-        r"tekst zastępczy|do uzupełnienia|tutaj wpisz|przykładowy tekst",
-        r"текст-заполнитель|подлежит замене|напишите здесь|пример текста",
-    )
+# The reason phrases of HTTP for failed requests.
+REASONS = (
+    "bad request|unauthorized|payment required|forbidden|not found|method not allowed|not acceptable|proxy authentication required|request timeout|conflict|gone|length required|"
+    "precondition failed|payload too large|content too large|uri too long|unsupported media type|range not satisfiable|expectation failed|misdirected request|unprocessable entity|locked|"
+    "upgrade required|too many requests|unavailable for legal reasons|internal server error|internal error|server error|not implemented|bad gateway|service unavailable|gateway timeout|gateway time-out"
 )
-#: messages of failing servers and sites; lower case, digits masked to 0
-ERROR = "|".join(
-    (
-        r"(?:error|errore|erreur|erro|fout|fehler|błąd|ошибка)\s?0{1,3}\s?:|^\W*(?:http )?0{1,3} (?:not found|bad gateway|forbidden|unauthorized|internal server error|service unavailable|gateway time-?out)\b",
-        r"^\W*(?:service unavailable|internal (?:server )?error|bad gateway|gateway time-?out|not found|forbidden)\W*(?:\(?0*\)?)?\W*$|^\W*internal (?:server )?error\s?:|^\W*fatal(?: error)?\s?:|^\W*(?:unhandled|uncaught) exception|^\W*traceback \(",
-        r"^\W*database error\b|database query has failed|\bbug in the software\b|\bupstream (?:timed out|request)|allowed memory of|storage backend|\bcannot (?:reach|connect to) the\b.{0,30}\b(?:backend|server|database)\b",
-        r"^\W*access denied\b|do not have permission to view|^\W*session (?:has )?expired\b|log in again to|^\W*too many requests\b|your (?:ip )?address has been blocked|having technical (?:trouble|difficulties)|does not exist on this server|\btry again in 0+ (?:second|minute)|wait a few minutes and reload|wiki is down",
-        r"server ist derzeit nicht erreichbar|seite wurde nicht gefunden|angeforderte seite|dienst (?:ist )?(?:derzeit )?nicht (?:verfügbar|erreichbar)",
-        r"momentanément indisponible|page demandée est introuvable|veuillez réessayer dans",
-        r"servicio no está disponible|página solicitada|vuelva a intentarlo",
-        r"serviço (?:está )?indisponível|página pedida|tente de novo dentro",
-        r"servizio al momento non|pagina richiesta non|non raggiungibile \(codice",
-        r"server is niet bereikbaar|gevraagde pagina|dienst is niet beschikbaar",
-        r"usługa jest chwilowo|nie znaleziono żądanej|niedostępna \(kod",
-        r"сервер временно недоступен|запрошенная страница не найдена|повторите попытку через",
-    )
+ERROR_WORD = "error|errore|erreur|erro|fout|fehler|błąd|ошибка"
+
+#: what fails, by language: en, de, fr, es, it, pt, nl, pl, ru
+SITE = (
+    "server|service|site|website|wiki|page|database|gateway|request|connection|session|access|address|backend|upstream|memory|host|application|permission|"
+    "seite|dienst|datenbank|anfrage|verbindung|sitzung|zugriff|serveur|connexion|accès|requête|página|servicio|servidor|sitio|conexión|sesión|acceso|pagina|servizio|sito|connessione|sessione|accesso|"
+    "serviço|sítio|ligação|sessão|acesso|verbinding|sessie|toegang|stron|usług|serwer|połączeni|sesj|dostęp|страниц|сервер|сервис|служб|соединени|сайт|доступ|сеанс"
 )
-#: notices that scripts or browser features are needed; lower case
-SCRIPT = "|".join(
-    (
-        r"javascript (?:is )?(?:disabled|required|must be|has to be|needs to be)|(?:enable|turn on|switch on|activate|allow) (?:javascript|scripts|cookies)\b|<noscript>",
-        r"\bscripts (?:and cookies )?(?:must|need to|have to|has to) be\b|needs scripts to be|browser does not support|checking your browser|scripts to be switched on",
-        r"aktivieren sie (?:bitte )?javascript|javascript (?:zu )?aktivieren|activer javascript|activez javascript|active (?:el )?javascript|ative o javascript|attivare javascript|attiva javascript|schakel javascript|włącz(?:yć)? (?:obsługę )?javascript|включите javascript",
-    )
+#: how it fails; no word but these starts a search
+FAIL = (
+    "not found|not be found|unavailable|not available|unreachable|not reachable|has failed|query failed|request failed|login failed|denied|expired|timed out|does not exist|do not have permission|"
+    "technical trouble|technical difficult|technical problem|been blocked|refused|used up|exhausted|cannot reach|could not reach|cannot connect|could not connect|too many|is down|overloaded|under maintenance|internal error|database error|server error|"
+    "nicht gefunden|nicht erreichbar|nicht verfügbar|abgelaufen|verweigert|überlastet|introuvable|indisponible|inaccessible|a expiré|refusé|n'existe pas|n’existe pas|no está disponible|no disponible|no se ha encontrado|no se encontró|no encontrada|"
+    "no existe|ha caducado|denegado|non raggiungibile|non disponibile|non è stata trovata|non trovata|non esiste|scaduta|negato|indisponível|não foi encontrada|não encontrada|não existe|expirou|negado|"
+    "niet bereikbaar|niet beschikbaar|niet gevonden|bestaat niet|verlopen|geweigerd|niedostępn|nie znaleziono|nie istnieje|wygasł|odmowa|недоступ|не найден|не существует|истёк|истек|отказано"
 )
-
-#: literals of which every piece of filler, error or script evidence holds one; lower case
-STEMS = (
-    " go here| goes here|your text|your heading|your title|your own words|your caption|replace this|sample paragraph|sample picture|sample text|sample image|sample heading|"
-    "placeholder text|placeholder image|text here| text''|target page|describe the picture|link title]|insert formula|insert non-f|to be replaced|to be added by|to be written|coming soon|"
-    "write the introduction|introduction of the article|todo|content to be added|beispieltext|platzhaltertext|wird noch ersetzt|hier bitte den text|text der einleitung|texte provisoire|"
-    "à remplacer|écrivez ici|texte d'ex|texte d’ex|texto de ejemplo|pendiente de sustituir|escriba aquí|texto provisório|a substituir.|escreva aqui|texto de exemplo|testo segnaposto|"
-    "da sostituire.|scrivere qui|testo di esempio|voorbeeldtekst|nog te vervangen|schrijf hier|tekst zastępczy|do uzupełnienia|tutaj wpisz|przykładowy tekst|текст-заполнитель|"
-    "подлежит замене|напишите здесь|пример текста|error|erreur|erro |erro:|fout |fout:|fehler|błąd|ошибка|not found|bad gateway|forbidden|unauthorized|service unavailable|gateway time|"
-    "fatal|exception|traceback|database query|bug in the software|upstream|allowed memory|storage backend|cannot reach|cannot connect|access denied|permission to view|session expired|"
-    "session has expired|log in again|too many requests|address has been blocked|technical trouble|technical difficult|does not exist on this|try again in|wait a few minutes|wiki is down|"
-    "derzeit nicht|nicht gefunden|angeforderte seite|dienst nicht|dienst ist nicht|momentanément indisp|introuvable|veuillez réessayer|no está disponible|página solicitada|vuelva a int|"
-    "indisponível|página pedida|tente de novo|servizio al momento|pagina richiesta|non raggiungibile|niet bereikbaar|gevraagde pagina|niet beschikbaar|chwilowo|nie znaleziono|"
-    "niedostępna (kod|временно недоступен|страница не найдена|повторите попытку|javascript|scripts|cookies|noscript|browser does|checking your browser"
-).split("|")
-#: filler Latin: at least so many of its words, and at least half of the line's
-LEAST_LATIN = 4
+#: what a page may need of a browser; no word but these starts a search
+TECH = "javascript|java script|scripts|scripting|cookies|noscript|your browser|this browser|ihr browser|votre navigateur|su navegador|seu navegador|tuo browser|uw browser|twoja przeglądark|ваш браузер"
+#: that it is needed
+NEED = (
+    "enable|disabled|turned off|turn it on|turn on|switched off|switch on|switched on|is required|are required|requires|must be|needs|need to|have to be|allowed|allow|activate|does not support|not supported|unsupported|outdated|checking|"
+    "aktivier|deaktiviert|einschalten|activer|activez|désactivé|active|activar|desactivado|habilit|ative|ativar|desativado|attiva|attivare|disattivat|abilit|schakel|inschakel|uitgeschakeld|włącz|wyłączon|включ|отключ"
+)
+#: what an author fills in
+UNIT = (
+    "text|paragraph|heading|headline|title|caption|picture|image|photo|content|section|introduction|description|words|beschreibung|überschrift|absatz|einleitung|bild|texte|titre|paragraphe|légende|texto|título|párrafo|introducción|"
+    "testo|titolo|paragrafo|introduzione|parágrafo|introdução|tekst|tytuł|akapit|wstęp|alinea|inleiding|текст|заголов|абзац|введени"
+)
+#: that it is only a sample; no word but these and the next starts a search
+DUMMY = (
+    "sample |placeholder |dummy |filler |example |slanted |strong |bold |italic |raw |your |to be replaced|to be added|to be written|to be filled|coming soon|replace this|replace with|describe the|beispiel|platzhalter|mustertext|blindtext|wird noch|provisoire|"
+    "à remplacer|d'exemple|d’exemple|de ejemplo|provisional|pendiente de|provisório|a substituir|de exemplo|segnaposto|da sostituire|di esempio|voorbeeld|plaatshouder|te vervangen|zastępcz|do uzupełnienia|przykładow|заполнител|подлежит замене|пример текста"
+)
+#: the place that waits for it, and the request to fill it
+HERE = " here|hier |hier eintragen|eintragen| ici| aquí| qui | aqui| hier|tutaj|здесь"
+WRITE = "write|insert|enter|type|put|goes|go |add |text|eintragen|einfügen|schreiben|écrivez|saisissez|insérez|escriba|escribe|inserte|scrivere|scrivi|inserire|escreva|insira|schrijf|voer |wpisz|napisz|wstaw|напишите|введите|вставьте"
+
+#: complete signs of their own: what a failing page-making program or an author's mark begins a line with
+LINE_ERROR = regex.compile(
+    rf"^\W*(?:http(?:/[\d.]+)?\s*)?(?:(?:{ERROR_WORD})\s*)?(?:[1-9]\d\d)?\s*[:–—-]?\s*(?:{REASONS})\W*(?:\(?\d*\)?)?\W*$|^\W*(?:{REASONS})[.!:]|^\W*(?:http )?[45]\d\d\W+(?:{REASONS})\b"
+    rf"|^\W*(?:{ERROR_WORD})\s?[45]\d\d\s?[:.–—-]|^\W*fatal(?: error)?\s?:|^\W*(?:unhandled|uncaught) (?:exception|error)|^\W*traceback \("
+)
+LINE_FILLER = regex.compile(r"^\W*(?:todo|tbd|fixme)\b\W|(?<!\w)lorem ipsum dolor|\[\[(?:name|title) of (?:the )?(?:target|linked) (?:page|article)|\[(?:https?://\S+ )?link title\]")
 
 
 def _slot_triggers() -> dict[str, re.Pattern[str]]:
@@ -147,37 +158,85 @@ def _slot_triggers() -> dict[str, re.Pattern[str]]:
     }
 
 
+def _near(words: str) -> re.Pattern[str]:
+    return re.compile("|".join(rf"(?<!\w){re.escape(w)}" if w[0] != " " else re.escape(w) for w in words.split("|")))
+
+
+#: kind -> (words that start a search, words that must be near)
+PAIRS = {"error": ((FAIL, SITE),), "script": ((TECH, NEED),), "filler": ((DUMMY, UNIT), (HERE, WRITE))}
+#: literals that start the search for a whole sign
+SIGNS = {"error": f"{REASONS}|{ERROR_WORD}|fatal|exception|traceback (", "filler": "todo|tbd|fixme|lorem ipsum dolor|[name of|[title of|link title]"}
+
 _FINDER: list = []
 
 
 def _finder() -> ahocorasick.Automaton:
+    """literal -> (length, [(kind, pattern of the partner, or None for a whole sign or a slot's mark)])."""
     if not _FINDER:
-        a = ahocorasick.Automaton()
-        for stem in STEMS:
-            a.add_word(stem, (len(stem), None))
+        known: dict[str, list] = {}
+        for kind, pairs in PAIRS.items():
+            for anchors, partners in pairs:
+                near = _near(partners)
+                for word in anchors.split("|"):
+                    known.setdefault(word, []).append((kind, near))
+        for kind, words in SIGNS.items():
+            for word in words.split("|"):
+                known.setdefault(word, []).append((f"{kind} sign", None))
         for literal, pattern in _slot_triggers().items():
-            a.add_word(literal, (len(literal), pattern))
+            known.setdefault(literal, []).append(("slot", pattern))
+        a = ahocorasick.Automaton()
+        for literal, uses in known.items():
+            a.add_word(literal, (len(literal), uses))
         a.make_automaton()
         _FINDER.append(a)
     return _FINDER[0]
 
 
-#: comments and code, which show what they hold instead of using it; a button's left-over is none
-HIDDEN = re.compile(r"<!--.*?-->|<(nowiki|syntaxhighlight|source|code|pre)\b[^>]*>(?!\s*(?:Put|Insert) [\w -]*text here\s*<).*?</\1>", re.S)
+#: where comments and code begin, which show what they hold instead of using it
+_OPENS = re.compile(r"<(!--|(?:nowiki|syntaxhighlight|source|code|pre)\b)")
+
+
+def visible(text: str) -> str:
+    """The text without comments and code, in one forward pass.
+
+    Code that is itself filler (what an editor's button leaves behind) stays visible.
+    """
+    out, at = [], 0
+    ends: dict[str, int] = {}  # sign -> its next place, -1 if there is none any more
 
+    def next_at(sign: str, start: int) -> int:
+        if sign not in ends or -1 < ends[sign] < start:
+            ends[sign] = text.find(sign, start)
+        return ends[sign]
 
-QUOTED = r"“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]|(?<!\w)\"[^\"\n]{1,120}\"(?!\w)"
-_QUOTED = re.compile(QUOTED, re.A)  # as the JVM reads it
+    for m in _OPENS.finditer(text):
+        if m.start() < at:
+            continue
+        body, close = m.end(), "-->"
+        if m.group(1) != "!--":
+            body, close = next_at(">", m.end()) + 1, f"</{m.group(1)}>"
+            if not body:
+                continue
+        end = next_at(close, body)
+        if end < 0 or (close != "-->" and end - body <= 80 and any(k == "filler" for _, k in evidence(text[body:end]))):
+            continue
+        out += [text[at : m.start()], " "]
+        at = end + len(close)
+    return "".join([*out, text[at:]]) if out else text
+
+
+#: quotations, which speak of what they hold; each mark ends the search from the one before, so it is linear
+_QUOTED = re.compile(r"“[^“”\n]*”|«[^«»\n]*»|„[^„“”\n]*[“”]|(?<!\w)\"[^\"\n]{1,120}\"(?!\w)")
 _LATIN = frozenset(FILLER_LATIN.split())
 _ASCII_WORD = re.compile(r"[a-z0-9_]+")
 _WORD = regex.compile(r"[\p{L}0-9]+")
+_SLOT, _MENTION = regex.compile(SLOT), regex.compile(MENTION)
+#: filler Latin: at least so many of its words, and at least half of the line's
+LEAST_LATIN = 4
 
 
 def filler_latin(line: str) -> bool:
-    """The rule of filler Latin on a line in lower case, by all its words.
-
-    Words end where ASCII does, so that none is missed that the JVM counts; it judges again.
-    """
+    """The rule of filler Latin on a line in lower case, by all its words."""
     if sum(map(_LATIN.__contains__, _ASCII_WORD.findall(line))) < LEAST_LATIN:
         return False
     said = _QUOTED.sub(" ", line)
@@ -185,67 +244,109 @@ def filler_latin(line: str) -> bool:
     return latin >= LEAST_LATIN and latin * 2 >= len(_WORD.findall(said))
 
 
-def candidate_lines(text: str) -> list[str]:
-    """The lines of a text that hold a literal of some evidence or are filler Latin, without comments and code."""
-    if "<" in text:
-        text = HIDDEN.sub(" ", text)
+def _kind(line: str, low: str, hits: list) -> str | None:
+    """The kind of evidence of a line; hits: (kind, partner, start, end) of the words that start a search."""
+    quoted = [m.span() for m in _QUOTED.finditer(low)]
+    begins = [x for x, _ in quoted]
+
+    def said(at: int) -> bool:
+        k = bisect_right(begins, at) - 1
+        return k < 0 or at >= quoted[k][1]
+
+    pairs = {"error": 0, "script": 0, "filler": 0, "slot": 0}
+    tried = set()
+    for kind, near, a, b in hits:
+        if not said(a):
+            continue
+        if kind == "slot":
+            if kind not in tried:
+                bare = _QUOTED.sub(" ", line)
+                pairs[kind] = bool(_SLOT.search(bare) and _SLOT.search(_MENTION.sub(" ", bare)))
+            tried.add(kind)
+        elif near is None:
+            if kind not in tried and (LINE_ERROR if kind == "error sign" else LINE_FILLER).search(low):
+                pairs[kind.split()[0]] = len(line)
+            tried.add(kind)
+        elif not (low[a].isalnum() and low[a - 1 : a].isalnum()):  # a word begins here
+            left = max(0, a - NEAR)
+            pairs[kind] += any(said(m.start() + at) for at, part in ((left, low[left:a]), (b, low[b : b + NEAR])) for m in near.finditer(part))
+    for kind in ("error", "script"):
+        if pairs[kind] and pairs[kind] * WORDS_A_PAIR >= low.count(" "):
+            return kind
+    return "filler" if pairs["filler"] else "slot" if pairs["slot"] else None
+
+
+def evidence(text: str) -> list[tuple[int, str]]:
+    """(line, kind) of the lines that hold evidence."""
     low = text.lower()
     if len(low) != len(text):  # a few capitals grow in lower case
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    found = {k for k, line in enumerate(low.split("\n")) if filler_latin(line)}
+    lows: list[str] = low.split("\n")
+    found = {k: "filler" for k, line in enumerate(lows) if filler_latin(line)}
     starts: list[int] | None = None
-    for end, (n, pattern) in _finder().iter(low):
+    hits: dict[int, list] = {}
+    for end, (n, uses) in _finder().iter(low):
         at = end + 1 - n
-        if pattern is not None and not pattern.match(low, at):
-            continue
-        if starts is None:
-            starts = [0] + [m.end() for m in re.finditer("\n", low)]
-        found.add(bisect_right(starts, at) - 1)
-    if not found:
-        return []
-    lines = text.split("\n")
-    return [lines[k] for k in sorted(found)]
+        own = [(kind, near) for kind, near in uses if kind != "slot" or near.match(low, at)]
+        if own:
+            if starts is None:
+                starts = [0] + [m.end() for m in re.finditer("\n", low)]
+            k = bisect_right(starts, at) - 1
+            hits.setdefault(k, []).extend((kind, near, at - starts[k], end + 1 - starts[k]) for kind, near in own)
+    if hits:
+        lines = text.split("\n")
+        for k, own in hits.items():
+            if k not in found and (kind := _kind(lines[k], lows[k], own)):
+                found[k] = kind
+    return sorted(found.items())
+
+
+def judged_lines(text: str) -> list[tuple[str, str | None]]:
+    """(line, kind or None) of every line of a text with evidence; no line of another."""
+    if "<" in text:
+        text = visible(text)
+    found = dict(evidence(text))
+    return [(line, found.get(k)) for k, line in enumerate(text.split("\n")) if line.strip()] if found else []
+
 
+def normal(line: Column) -> Column:
+    """Lower case, digits to 0, single spaces."""
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, "[0-9]+", "0"), "\\s+", " ")))
+
+
+def _rows(df: DataFrame, key: str, text: str, host: str, page: str | None) -> DataFrame:
+    place = F.col(page if page else key).cast("string")
+    return df.select(F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit(""))).alias("host"), F.xxhash64(place).alias("page"), F.col(text).cast("string").alias("t")).where("id IS NOT NULL AND t <> ''")
 
-INSERTED_NAME = r"(?<=[\p{L}\d,;:.)] )\p{Lu}\p{Ll}{2,}(?: \([\p{L} ]+\))?(?= )"
 
+def recurrent_lines(df: DataFrame, key: str, text: str, host: str, page: str | None = None, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+    """(host, line, n, pages): hashes of the lines that stand on least_pages and least_share of a host's pages.
 
-def _normal(line: Column) -> Column:
-    """Lower case, digits to 0, no proper names within the line, single spaces."""
-    bare = F.regexp_replace(F.regexp_replace(line, INSERTED_NAME, ""), "[0-9]+", "0")
-    return F.lower(F.trim(F.regexp_replace(bare, "\\s+", " ")))
+    Every line of every text is counted, once for each page of the host however
+    many copies the page has.  A host has at most 1 / least_share times the mean
+    number of lines of its pages of such lines.
+    """
+    every = F.concat(F.transform(F.split("t", "\n"), lambda x: F.when(F.trim(x) != "", F.xxhash64(normal(x)))), F.array(F.lit(0).cast("long")))
+    lines = _rows(df, key, text, host, page).select("host", "page", F.explode(F.array_distinct(every)).alias("line")).where("line IS NOT NULL")
+    counts = lines.groupBy("host", "line", "page").agg(F.lit(1)).groupBy("host", "line").agg(F.count("*").alias("n")).where((F.col("n") >= least_pages) | (F.col("line") == 0))
+    counts = stash(counts, "lines")
+    hosts = counts.where("line = 0").select("host", F.col("n").alias("pages"))  # 0 stands for the page itself
+    return counts.where((F.col("line") != 0) & (F.col("n") >= least_pages)).join(hosts, "host").where(F.col("n") >= F.col("pages") * least_share)
 
 
 def evidence_lines(df: DataFrame, key: str, text: str, host: str, page: str | None = None) -> DataFrame:
-    """(id, host, page, line, evidence, own): the lines that hold evidence; own: a notice by its own form."""
-    place = F.col(page if page else key).cast("string")
-    rows = df.select(F.col(key).alias("id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), place.alias("page"), F.col(text).cast("string").alias("t")).where("id IS NOT NULL AND t <> ''")
+    """(id, host, line, evidence): hashed lines of every text with evidence; a null evidence for its other lines."""
+    rows = _rows(df, key, text, host, page).select("id", "host", "t")
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = b["t"].map(candidate_lines)
-            hit = got.map(len) > 0
-            if hit.any():  # an empty frame has no types
-                yield b.loc[hit, ["id", "host", "page"]].assign(line=got[hit]).explode("line")
+            got = [(k, h, line, kind) for k, h, t in zip(b["id"], b["host"], b["t"]) for line, kind in judged_lines(t)]
+            if got:  # an empty frame has no types
+                yield pd.DataFrame(got, columns=["id", "host", "line", "evidence"])
 
     kind_of_id = rows.schema["id"].dataType.simpleString()
-    lines = rows.mapInPandas(find, f"id {kind_of_id}, host string, page string, line string")
-    said = F.when(F.col("line").rlike("[“«„\"]"), F.regexp_replace("line", QUOTED, " ")).otherwise(F.col("line"))
-    lines = lines.withColumn("said", said).select("id", "host", "page", "said", F.lower(F.regexp_replace("said", "[0-9]+", "0")).alias("low"), _normal(F.col("said")).alias("normal"))
-    either = lambda p: F.col("low").rlike(p) | F.col("normal").rlike(p)
-    latin = F.regexp_count("low", F.lit(rf"\b(?:{FILLER_LATIN.replace(' ', '|')})\b"))
-    words = F.regexp_count("low", F.lit(r"[\p{L}\d]+"))
-    kind = (
-        F.when(either(ERROR), "error")
-        .when(either(SCRIPT), "script")
-        .when(either(FILLER), "filler")
-        .when(F.col("said").rlike(SLOT) & F.regexp_replace("said", MENTION, " ").rlike(SLOT), "slot")
-        .when((latin >= LEAST_LATIN) & (latin * 2 >= words), "filler")
-    )
-    # through a generated row: no filter is pushed below the expressions and repeats them
-    judged = lines.select("id", "host", "page", "normal", F.inline(F.array(F.struct(kind.alias("evidence")))))
-    own = F.col("evidence").isin("error", "script", "filler")
-    return judged.where("evidence IS NOT NULL").select("id", "host", "page", F.col("normal").alias("line"), "evidence", own.alias("own"))
+    lines = rows.mapInPandas(find, f"id {kind_of_id}, host long, line string, evidence string")
+    return lines.select("id", "host", F.xxhash64(normal(F.col("line"))).alias("line"), "evidence")
 
 
 def residue(df: DataFrame, key: str, text: str, host: str, page: str | None = None, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -254,18 +355,14 @@ def residue(df: DataFrame, key: str, text: str, host: str, page: str | None = No
     page: the column of which a host's copies of one page share the value; a
     line is boilerplate by the number of pages that hold it, not of their copies.
     """
-    from vellumgrid.runtime import stash
-
     found = stash(evidence_lines(df, key, text, host, page), "residue")
-    place = F.col(page if page else key).cast("string")
-    hosts = df.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), place.alias("page")).distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    slots = found.where(~F.col("own"))
-    often = (
-        slots.select("host", "line", "page").distinct().groupBy("host", "line").agg(F.count("*").alias("n")).join(hosts, "host")
-        .where((F.col("n") >= least_pages) & (F.col("n") >= F.col("pages") * least_share)).select("host", "line")
-    )
-    left = slots.join(often, ["host", "line"], "left_anti").select("id", "evidence").unionByName(found.where("own").select("id", "evidence"))
-    return left.groupBy("id").agg(F.array_sort(F.collect_set("evidence")).alias("evidence"))
+    often = stash(recurrent_lines(df, key, text, host, page, least_pages, least_share).select("host", "line", F.lit(True).alias("often")), "often")
+    often = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
+    left = found.join(often, ["host", "line"], "left")
+    rest = F.col("often").isNull()
+    by = left.groupBy("id").agg(F.count_if(rest).alias("rest"), F.collect_set(F.when(rest, F.col("evidence"))).alias("of_rest"), F.collect_set("evidence").alias("of_all"))
+    whole = F.when(F.col("rest") == 0, F.col("of_all")).otherwise(F.col("of_rest"))
+    return by.select("id", F.array_sort(whole).alias("evidence")).where(F.size("evidence") > 0)
 
 
 def exclude(df: DataFrame, key: str, text: str, host: str, page: str | None = None) -> DataFrame:
