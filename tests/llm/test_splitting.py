@@ -41,6 +41,22 @@ def test_no_boundary_at_all():
     assert len(got) == 5
 
 
+def test_a_boundary_in_reach_is_never_missed():
+    """Wherever a piece can end at a boundary it does, with as many pieces as that takes."""
+    text = ("x" * 90 + " ") * 60
+    assert all(text[e - 1] == " " for _, e in check(text, [], 130, 20)[:-1])
+    assert all(text[e - 1] == " " for _, e in check(text, [], 100, 5)[:-1])
+
+
+def test_linear_without_a_boundary():
+    import time
+
+    for text in ("x" * 10_000_000, "word " * 1_000_000, ("y" * 3000 + ". ") * 2000, "\n" + " " * 2_000_000, "." * 2_000_000):
+        began = time.time()
+        check(text, [], 1200, 120)
+        assert time.time() - began < 20
+
+
 def test_limits_are_checked(spark):
     with pytest.raises(ValueError):
         S.cuts(10, {}, 5, 5)

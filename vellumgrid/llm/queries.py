@@ -110,6 +110,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(split_input(spark, d), limits(spark, d)).where("n_pieces > 1").select("item_kind", "item_id").distinct()
 
 
+def p5_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Of every oversized item: the digest of its pieces put together again without their overlaps,
+    and whether every piece is within the limit, starts overlap_chars before the last one's end, and no piece is spare."""
+    given = load(spark, d, "split_limits").select("item_kind", "max_chars", "overlap_chars")
+    pieces = p5_pieces(spark, d).join(given, "item_kind")
+    by = pieces.groupBy("item_kind", "item_id", "max_chars", "overlap_chars", "n_pieces").agg(F.array_sort(F.collect_list(F.struct("piece_no", "start", "end", "piece"))).alias("p"))
+    own = F.transform("p", lambda x: F.when(x["piece_no"] == 1, x["piece"]).otherwise(F.substr(x["piece"], F.col("overlap_chars") + 1)))
+    rest = F.slice("p", 2, F.size("p"))
+    meets = F.forall(F.zip_with("p", rest, lambda a, b: b.isNull() | (b["start"] == a["end"] - F.col("overlap_chars"))), lambda x: x)
+    fits = F.forall("p", lambda x: (F.length(x["piece"]) <= F.col("max_chars")) & (F.length(x["piece"]) == x["end"] - x["start"]) & (F.length(x["piece"]) > F.col("overlap_chars")))
+    return by.select("item_kind", "item_id", F.md5(F.array_join(own, "")).alias("digest"), fits.alias("fits"), meets.alias("meets"), (F.size("p") == F.col("n_pieces")).alias("numbered"))
+
+
 def scan_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(scanned texts, line findings, misread words, texts of lone glyphs)."""
     every = load(spark, d, "elements")
@@ -179,7 +192,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p6_found": p6_found, "p6_repaired": p6_repaired, "p7_assign": p7_assign, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_clean": p9_clean, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p1_canonical": p1_canonical, "p2_statistics": p2_statistics, "p3_repaired": p3_repaired, "p4_languages": p4_languages}
+    return {"p6_found": p6_found, "p6_repaired": p6_repaired, "p7_assign": p7_assign, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_clean": p9_clean, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_rebuilt": p5_rebuilt, "p1_canonical": p1_canonical, "p2_statistics": p2_statistics, "p3_repaired": p3_repaired, "p4_languages": p4_languages}
 
 
 def _p1_sql() -> str:
@@ -214,4 +227,8 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL
             SELECT DISTINCT 'page', export_id FROM pdf_layouts
             WHERE list_sum(list_transform(layouts, lambda x: coalesce(length(x.text), 0))) > (SELECT max_chars FROM split_limits WHERE item_kind = 'page')""",
+        "p5_rebuilt": """
+            WITH i AS (SELECT DISTINCT 'element' AS item_kind, elem_id AS item_id, coalesce(text, '') AS t FROM elements
+                       UNION ALL SELECT DISTINCT 'page', export_id, coalesce(array_to_string(list_transform(layouts, lambda x: coalesce(x.text, '')), ''), '') FROM pdf_layouts)
+            SELECT item_kind, item_id, md5(t) AS digest, true AS fits, true AS meets, true AS numbered FROM i JOIN split_limits USING (item_kind) WHERE length(t) > max_chars""",
     }

@@ -13,6 +13,7 @@ must be positive and above the overlap, else ValueError; extra columns are ignor
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,51 +47,61 @@ def boundaries(text: str, parts: list[int]) -> dict[int, int]:
 
 
 def cuts(length: int, found: dict[int, int], limit: int, overlap: int) -> list[tuple[int, int]]:
-    """(start, end) of each piece: every end - start <= limit, each start = the last end - overlap."""
+    """(start, end) of each piece: every end - start <= limit, each start = the last end - overlap.
+
+    The least number of pieces is placed; where a cut has no boundary within its
+    bounds a piece is added from there on.  One more piece in all is tried if a
+    cut fell short of the end of a sentence.  Both are forward passes, so the
+    work is in proportion to the boundaries and pieces.
+    """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be at least 0 and below the limit")
     if length <= limit:
         return [(0, length)]
     least = -(-(length - overlap) // (limit - overlap))
     places = sorted(found)
-    best: tuple[int, list[tuple[int, int]]] | None = None
-    for n in range(least, least + 3 + least // 4):
-        got, weakest = _place(length, places, found, limit, overlap, n)
-        if best is None or weakest > best[0]:
-            best = (weakest, got)
-        # one piece more may bring every cut to the end of a sentence; only a cut within a word is worth more pieces than that
-        if best[0] >= SENTENCE or (n > least and best[0] > 0):
-            break
-    return best[1]
+    got, weakest = _place(length, places, found, limit, overlap, least)
+    if 0 < weakest < SENTENCE or (weakest == 0 and places):
+        other, best = _place(length, places, found, limit, overlap, least + 1)
+        if best > weakest:
+            return other
+    return got
 
 
 def _place(length: int, places: list[int], found: dict[int, int], limit: int, overlap: int, n: int) -> tuple[list[tuple[int, int]], int]:
-    """The pieces and the strength of the weakest cut, a sentence end at most; 0 for a cut at no boundary."""
-    from bisect import bisect_left, bisect_right
-
-    pieces, start, weakest = [], 0, SENTENCE
-    for k in range(1, n):
-        left = n - k + 1  # pieces still to come, this one included
-        even = (length - start + (left - 1) * overlap) / left
-        target = start + even
-        low = max(start + overlap + 1, length - ((left - 1) * limit - (left - 2) * overlap) + overlap)
-        high = min(start + limit, length - 1)
-        reach = max(1, int(even / 3))
-        a, b = bisect_left(places, max(low, target - reach)), bisect_right(places, min(high, target + reach))
-        if a >= b:  # nothing near: anything allowed
-            a, b = bisect_left(places, low), bisect_right(places, high)
-        if a < b:
-            end = min(places[a:b], key=lambda p: (-found[p], abs(p - target), p))
-            weakest = min(weakest, found[end])
+    """At least n pieces, and the strength of the weakest cut, a sentence end at most; 0 for a cut at no boundary."""
+    pieces, start, weakest, left = [], 0, SENTENCE, n
+    while length - start > limit:
+        low, high = max(start + overlap + 1, length - _reach(left - 1, limit, overlap) + overlap), min(start + limit, length - 1)
+        target = start + (length - start + (left - 1) * overlap) / left
+        end = _snap(places, found, low, high, target, (target - start) / 3)
+        if end is None and low > start + overlap + 1:  # no boundary there: one piece more gives this cut all the room there is
+            wider = start + (length - start + left * overlap) / (left + 1)
+            end = _snap(places, found, start + overlap + 1, high, wider, (wider - start) / 3)
+            left += end is not None
+        if end is None:
+            weakest, end = 0, max(low, min(high, round(target)))
         else:
-            weakest = 0
-            end = max(low, min(high, round(target)))
+            weakest = min(weakest, found[end])
         pieces.append((start, end))
-        start = end - overlap
+        start, left = end - overlap, max(left - 1, -(-(length - end) // (limit - overlap)))
     pieces.append((start, length))
     return pieces, weakest
 
 
+def _reach(n: int, limit: int, overlap: int) -> int:
+    """Characters that n pieces cover at most."""
+    return n * limit - (n - 1) * overlap
+
+
+def _snap(places: list[int], found: dict[int, int], low: float, high: int, target: float, near: float) -> int | None:
+    """The strongest boundary near the target, else the strongest allowed; ties go to the nearest, then the first."""
+    a, b = bisect_left(places, max(low, target - near)), bisect_right(places, min(high, target + near))
+    if a >= b:
+        a, b = bisect_left(places, low), bisect_right(places, high)
+    return min(places[a:b], key=lambda p: (-found[p], abs(p - target), p)) if a < b else None
+
+
 def split_items(items: DataFrame, limits: dict[str, tuple[int, int]]) -> DataFrame:
     """items(item_kind, item_id, parts array<string>) -> PIECES.
 
