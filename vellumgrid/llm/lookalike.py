@@ -142,18 +142,18 @@ def classes(pairs: list[tuple[str, str]]) -> dict[str, list[str]]:
 
 
 def rewrite_table(counts: dict[str, int]) -> dict[str, str]:
-    """pattern -> representative: the member most frequent in the corpus (ties: shorter, then smaller)."""
-    table: dict[str, str] = {}
-    singles = [c for c in counts if len(c) == 1]
-    for members in classes(look_alike_pairs(singles)).values():
-        if "" in members:
-            best = ""
-        else:
-            best = min(members, key=lambda m: (-counts.get(m, 0), len(m), m))
-        for m in members:
-            if m != best:
-                table[m] = best
-    return table
+    """pattern -> representative: the member most frequent in the corpus (ties: shorter, then smaller)
+    among those that hold no pattern themselves, so that rewriting ends."""
+    groups = [m for m in classes(look_alike_pairs([c for c in counts if len(c) == 1])).values() if len(m) > 1]
+    order = [[""] if "" in m else sorted(m, key=lambda x: (-counts.get(x, 0), len(x), x)) for m in groups]
+    barred: set[str] = set()
+    while True:
+        best = [next((x for x in o if x not in barred), o[0]) for o in order]
+        table = {x: b for m, b in zip(groups, best) for x in m if x != b}
+        odd = {b for b in best if b not in barred and any(b[i:j] in table for i in range(len(b)) for j in range(i + 1, len(b) + 1))}
+        if not odd:
+            return table
+        barred |= odd
 
 
 def count_characters(df: DataFrame, text: str) -> dict[str, int]:
@@ -188,24 +188,31 @@ def count_characters(df: DataFrame, text: str) -> dict[str, int]:
     return {r["m"]: r["n"] for r in part.groupBy("m").agg(F.sum("n").alias("n")).where("n > 0").collect()}
 
 
-_AUTOMATA: dict[int, tuple[dict[str, str], ahocorasick.Automaton]] = {}
+_AUTOMATA: dict[frozenset, ahocorasick.Automaton] = {}
 
 
 def _automaton(table: dict[str, str]) -> ahocorasick.Automaton:
-    key = hash(frozenset(table.items()))
+    key = frozenset(table.items())
     if key not in _AUTOMATA:
         a = ahocorasick.Automaton()
         for pattern, to in table.items():
             a.add_word(pattern, (len(pattern), to))
         a.make_automaton()
-        _AUTOMATA[key] = (table, a)
-    return _AUTOMATA[key][1]
+        _AUTOMATA[key] = a
+    return _AUTOMATA[key]
 
 
 def rewrite(text: str, automaton: ahocorasick.Automaton) -> str:
     """Greedy leftmost-longest rewriting, repeated until nothing matches (a deleted
-    invisible character may bring a base and its mark together)."""
-    for _ in range(8):
+    invisible character may bring a base and its mark together).
+
+    It ends: no representative holds a pattern, and every form a text passes
+    through looks the same, of which there are finitely many; should two patterns
+    that overlap turn one form into the other and back, the least of them stands.
+    """
+    seen: dict[str, None] = {}
+    while text not in seen:
+        seen[text] = None
         out, at = [], 0
         for end, (n, to) in automaton.iter_long(text):
             out.append(text[at : end + 1 - n])
@@ -215,7 +222,8 @@ def rewrite(text: str, automaton: ahocorasick.Automaton) -> str:
             return text
         out.append(text[at:])
         text = "".join(out)
-    return text
+    forms = list(seen)
+    return min(forms[forms.index(text) :])
 
 
 def rewriter(table: dict[str, str]) -> "Column":

@@ -17,7 +17,19 @@ MAX_SAMPLES = 20_000
 def sample_texts(spark: SparkSession, d: str) -> list[tuple[str, str]]:
     """(lang, text) of lang_samples, a table of fixed size; MAX_SAMPLES bounds it."""
     rows = load(spark, d, "lang_samples").select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
-    return [(r[0], r[1]) for r in rows.orderBy("lang", "text").limit(MAX_SAMPLES).collect()]
+    return [(r[0], r[1]) for r in rows.orderBy("lang", "text").limit(MAX_SAMPLES).collect()]  # labelled rows, a documented bound
+
+
+def few(rows: DataFrame, most: int) -> list:
+    """The rows of a table of settings; more than most of them are an error, never a cut."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows of settings: {', '.join(rows.columns)}")
+    return got
+
+
+#: rows a table of settings (limits, containers, targets) may have
+MAX_SETTINGS = 100_000
 
 
 def all_texts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -93,7 +105,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def limits(spark: SparkSession, d: str) -> dict[str, tuple[int, int]]:
-    return {r[0]: (r[1], r[2]) for r in load(spark, d, "split_limits").select("item_kind", "max_chars", "overlap_chars").limit(1000).collect()}
+    return {r[0]: (r[1], r[2]) for r in few(load(spark, d, "split_limits").select("item_kind", "max_chars", "overlap_chars"), MAX_SETTINGS)}
 
 
 def split_input(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +184,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mix_targets(spark: SparkSession, d: str) -> dict[str, tuple[float, int]]:
-    return {r[0]: (r[1], r[2]) for r in load(spark, d, "mix_targets").select("source", "target_share", "max_repeats").limit(1000).collect()}
+    return {r[0]: (r[1], r[2]) for r in few(load(spark, d, "mix_targets").select("source", "target_share", "max_repeats"), MAX_SETTINGS)}
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
