@@ -91,3 +91,25 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "k long, t string")
     assert L.look_alike_pairs_of(df, "k", "t").count() == 0
     assert L.with_canonical(df, "t").columns == ["k", "t", "canonical_text"]
+
+
+def test_hot_spellings_meet_in_buckets(spark, monkeypatch):
+    """Many rows of one spelling, many spellings of one class: each pair once, whatever the bucket size."""
+    odd = ["".join(c) for c in itertools.product("aа", repeat=5)]
+    rows = [(i, "aaaaa") for i in range(200)] + [(1000 + i, t) for i, t in enumerate(odd)] + [(1000, odd[0]), (5, "ааааа"), (2000, "other")]
+    df = spark.createDataFrame(rows, "k long, t string").repartition(4)
+    want = brute_pairs(rows)
+    for size in (3, 7, 2000):
+        monkeypatch.setattr(L, "HOT_ROWS", size)
+        got = [(r["a"], r["b"]) for r in L.look_alike_pairs_of(df, "k", "t").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    members = {r["id"]: (r["class_id"], r["spellings"]) for r in L.look_alike_classes(df, "k", "t").collect()}
+    assert set(members) == {k for k, t in rows if t != "other"} and set(members.values()) == {(0, len(odd))}
+
+
+def test_rewriting_ends_where_a_frequent_spelling_holds_a_pattern():
+    """The most frequent spelling of a composed letter may hold a base that is itself rewritten."""
+    table = L.rewrite_table({"а": 50, "a": 1, "á": 2, "́": 90, "á": 70})
+    assert not any(p in best for best in table.values() for p in table)
+    a = L._automaton(table)
+    assert len({L.rewrite(t, a) for t in ("á", "á", "á")}) == 1

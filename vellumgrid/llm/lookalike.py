@@ -13,16 +13,16 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumgrid.runtime import spread
+from vellumgrid.runtime import stash
 
 # Letters of other scripts drawn like Latin ones, in code-point order of the letter.
 GREEK_LIKE_LATIN = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX νv οo ρp ϲc ϳj"
@@ -159,7 +159,8 @@ def rewrite_table(counts: dict[str, int]) -> dict[str, str]:
 def count_characters(df: DataFrame, text: str) -> dict[str, int]:
     """Occurrences over all rows of every code point and of every string a ligature stands for.
 
-    The result is bounded by the number of Unicode code points, whatever the corpus.
+    The result is bounded by the number of Unicode code points and of pairs of a
+    base letter and a mark, whatever the corpus.
     """
     strings = ligature_strings()
 
@@ -226,12 +227,13 @@ def rewrite(text: str, automaton: ahocorasick.Automaton) -> str:
     return min(forms[forms.index(text) :])
 
 
-def rewriter(table: dict[str, str]) -> "Column":
-    """A pandas UDF Column -> Column that rewrites with the table."""
+def rewriter(spark: SparkSession, table: dict[str, str]) -> "Callable[[Column], Column]":
+    """A pandas UDF that rewrites with the table, which has at most one pattern for a code point that occurs or a spelling of one."""
+    shared = spark.sparkContext.broadcast(table)
 
     @F.pandas_udf(T.StringType())
     def run(texts: pd.Series) -> pd.Series:
-        a = _automaton(table)
+        a = _automaton(shared.value)
         return texts.map(lambda t: t if t is None else rewrite(t, a))
 
     return run
@@ -257,34 +259,68 @@ def with_canonical(df: DataFrame, text: str = "text", out: str = "canonical_text
     if not table:
         return df.withColumn(out, F.col(text))
     need = F.when(may_change(F.col(text), table), F.col(text))
-    return df.withColumn(out, F.coalesce(rewriter(table)(need), F.col(text)))
+    return df.withColumn(out, F.coalesce(rewriter(df.sparkSession, table)(need), F.col(text)))
 
 
-HOT_ROWS = 20_000
+#: rows of one spelling, or spellings of one class, that one side of a join task holds
+HOT_ROWS = 2_000
+
+
+def hashed_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, raw, cls): each key with the digests of its text as stored and of its canonical form, once."""
+    keyed = with_canonical(df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("k IS NOT NULL AND t IS NOT NULL AND t <> ''"), "t", "c")
+    return stash(keyed.select("k", F.unhex(F.md5("t")).alias("raw"), F.unhex(F.md5("c")).alias("cls")), "lookalike")
+
+
+def spellings(hashed: DataFrame) -> DataFrame:
+    """(cls, raw, n, m): the spellings of every class that has several; n rows of the spelling, m spellings of the class.
+
+    Counted map-side: a text of a third of all rows is one row of each task's output.
+    """
+    spelt = hashed.groupBy("cls", "raw").agg(F.count("*").alias("n"))
+    return spelt.join(spelt.groupBy("cls").agg(F.count("*").alias("m")).where("m > 1"), "cls")
+
+
+def look_alike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, class_id, spellings): the members of every class of several spellings; class_id is the least key of the class.
+
+    This is the form to use at scale: one row a member, where pairs grow with the square of a class.
+    """
+    hashed = hashed_classes(df, key, text)
+    of = hashed.groupBy("cls").agg(F.min("k").alias("class_id"))
+    size = spellings(hashed).select("cls", F.col("m").alias("spellings")).distinct()
+    return hashed.select("k", "cls").distinct().join(of.join(size, "cls"), "cls").select(F.col("k").alias("id"), "class_id", "spellings")
 
 
 def look_alike_pairs_of(df: DataFrame, key: str, text: str) -> DataFrame:
     """(a, b): pairs of different keys whose texts differ as strings but share a canonical form.
 
-    Only classes with two spellings survive the first, map-side combined
-    aggregation.  A class of many rows is salted: its rows on one side are dealt
-    over ceil(rows / HOT_ROWS) buckets, the other side is repeated per bucket.
+    Spellings meet before rows do, so rows of one spelling never meet each other.
+    Spellings of a class, and rows of a spelling, are dealt over buckets of about
+    HOT_ROWS; each pair of buckets is a join key of its own.  Rows are repeated
+    once for each bucket that they meet, which is less often than they are in the result.
     """
-    keyed = with_canonical(df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("k IS NOT NULL AND t IS NOT NULL AND t <> ''"), "t", "c")
-    hashed = keyed.select("k", F.unhex(F.md5("t")).alias("raw"), F.unhex(F.md5("c")).alias("cls"))
-    return _pairs(hashed)
+    return _pairs(hashed_classes(df, key, text))
+
+
+def _buckets(n: str) -> Column:
+    return F.ceil(F.col(n) / HOT_ROWS).cast("int")
+
+
+def _each(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
 
 
 def _pairs(hashed: DataFrame) -> DataFrame:
-    from vellumgrid.runtime import stash
-
-    hashed = stash(hashed, "lookalike")
-    mixed = (
-        hashed.groupBy("cls").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-        .select("cls", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("salts"))
-    )
-    rows = hashed.join(mixed, "cls").select("k", "raw", "cls", "salts").distinct()
-    a = rows.withColumn("salt", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int"))
-    b = rows.select(F.col("k").alias("k2"), F.col("raw").alias("raw2"), F.col("cls").alias("cls2"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt2"))
-    met = a.join(b, (a.cls == b.cls2) & (a.salt == b.salt2) & (a.raw < b.raw2) & (a.k != b.k2))
-    return met.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
+    hashed = hashed.distinct()
+    spelt = stash(spellings(hashed).withColumns({"rows": _buckets("n"), "kinds": _buckets("m")}).drop("n", "m"), "spellings")
+    own = F.pmod(F.xxhash64("raw"), F.col("kinds")).cast("int")
+    left = spelt.withColumn("x", own).withColumn("y", _each(F.col("kinds"))).select("cls", "x", "y", "raw", "rows")
+    right = spelt.withColumn("y", own).withColumn("x", _each(F.col("kinds"))).select("cls", "x", "y", F.col("raw").alias("raw2"), F.col("rows").alias("rows2"))
+    met = left.join(right, ["cls", "x", "y"]).where("raw < raw2").select("raw", "raw2", "rows", "rows2")
+    cells = met.withColumn("x", _each(F.col("rows"))).withColumn("y", _each(F.col("rows2"))).select("raw", "raw2", "x", "y")
+    dealt = stash(hashed.join(spelt.select("raw", "rows"), "raw").select("k", "raw", F.pmod(F.xxhash64("k"), F.col("rows")).cast("int").alias("bucket")), "members")
+    a = dealt.select(F.col("k").alias("ka"), "raw", F.col("bucket").alias("x")).join(cells, ["raw", "x"])
+    b = dealt.select(F.col("k").alias("kb"), F.col("raw").alias("raw2"), F.col("bucket").alias("y")).join(cells, ["raw2", "y"])
+    both = a.join(b, ["raw", "raw2", "x", "y"]).where("ka <> kb")
+    return both.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()

@@ -46,6 +46,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_alike_pairs_of(rows, "elem_id", "text").select(F.col("a").alias("elem_id_a"), F.col("b").alias("elem_id_b"))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The members of every class of texts that look the same in several spellings."""
+    rows = spread(load(spark, d, "elements").select("elem_id", "text"))
+    return lookalike.look_alike_classes(rows, "elem_id", "text").withColumnRenamed("id", "elem_id")
+
+
 def quality_rules(spark: SparkSession, d: str) -> tuple[list[str], quality.RuleList]:
     common = quality.common_words(load(spark, d, "common_words"))
     return common, quality.fit(spark, load(spark, d, "lang_samples"), common, max_samples=MAX_SAMPLES)
@@ -204,12 +210,17 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p6_found": p6_found, "p6_repaired": p6_repaired, "p7_assign": p7_assign, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_clean": p9_clean, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_rebuilt": p5_rebuilt, "p1_canonical": p1_canonical, "p2_statistics": p2_statistics, "p3_repaired": p3_repaired, "p4_languages": p4_languages}
+    return {"p6_found": p6_found, "p6_repaired": p6_repaired, "p7_assign": p7_assign, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_clean": p9_clean, "p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_rebuilt": p5_rebuilt, "p1_canonical": p1_canonical, "p2_statistics": p2_statistics, "p3_repaired": p3_repaired, "p4_languages": p4_languages}
+
 
+# Fixed values of the check only, apart from the operator's own tables: letters drawn like those below them, then marks.
+_DRAWN = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνορϲϳЅІЈАВЕКМНОРСТУХаеорсухѕіјѴѵҮһӀӏԁԛԜԝɑɡ\u00b5\u2126" + "\u2010\u2011\uff07\u02b9\u201a\u0387\u22c5\u2219"
+_DRAWN_AS = "ABEZHIKMNOPTYXvopcjSIJABEKMHOPCTYXaeopcyxsijVvYhlldqWwag\u03bc\u03a9" + "--''\u201a\u00b7\u00b7\u00b7"
 
-def _p1_sql() -> str:
-    """The same classes by nested SQL functions: unseen characters out, look-alikes translated, ligatures opened, marks composed."""
-    like = {x[0]: x[1] for g in (lookalike.GREEK_LIKE_LATIN, lookalike.CYRILLIC_LIKE_LATIN, lookalike.OTHER_LIKE, lookalike.PUNCTUATION_LIKE) for x in g.split(" ") if len(x) == 2}
+
+def _p1_sql(result: str) -> str:
+    """Look-alike forms by nested SQL functions: unseen characters out, look-alikes translated, ligatures opened, marks composed."""
+    like = dict(zip(_DRAWN, _DRAWN_AS, strict=True))
     like |= {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
     like |= {chr(c): " " for c in range(0x80, 0x3001) if unicodedata.category(chr(c)) == "Zs" and c != 0x1680}
     for c in range(0x370, 0x530):  # composed letters of other scripts, by their parts
@@ -224,15 +235,21 @@ def _p1_sql() -> str:
     k = f"translate(regexp_replace(text, '{unseen}', '', 'g'), {quoted(''.join(like))}, {quoted(''.join(like.values()))})"
     for a, b in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ĳ", "ij"), ("Ĳ", "IJ")):
         k = f"replace({k}, '{a}', '{b}')"
-    return f"""
-        WITH c AS (SELECT elem_id, text, nfc_normalize({k}) AS k FROM (SELECT DISTINCT elem_id, text FROM elements WHERE text <> ''))
-        SELECT DISTINCT least(a.elem_id, b.elem_id) AS elem_id_a, greatest(a.elem_id, b.elem_id) AS elem_id_b
-        FROM c a JOIN c b ON a.k = b.k AND a.text < b.text AND a.elem_id <> b.elem_id"""
+    return f"WITH c AS (SELECT elem_id, text, nfc_normalize({k}) AS k FROM (SELECT DISTINCT elem_id, text FROM elements WHERE text <> '')) {result}"
+
+
+_P1_PAIRS = """
+    SELECT DISTINCT least(a.elem_id, b.elem_id) AS elem_id_a, greatest(a.elem_id, b.elem_id) AS elem_id_b
+    FROM c a JOIN c b ON a.k = b.k AND a.text < b.text AND a.elem_id <> b.elem_id"""
+_P1_CLASSES = """
+    , g AS (SELECT k, min(elem_id) AS class_id, count(DISTINCT text) AS spellings FROM c GROUP BY k HAVING count(DISTINCT text) > 1)
+    SELECT DISTINCT elem_id, class_id, spellings FROM c JOIN g USING (k)"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_found": _p1_sql(),
+        "p1_found": _p1_sql(_P1_PAIRS),
+        "p1_classes": _p1_sql(_P1_CLASSES),
         "p5_found": """
             SELECT DISTINCT 'element' AS item_kind, elem_id AS item_id FROM elements
             WHERE length(text) > (SELECT max_chars FROM split_limits WHERE item_kind = 'element')
