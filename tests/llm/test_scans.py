@@ -58,3 +58,57 @@ def test_sha_read_as_te(spark):
     df = spark.createDataFrame(rows, "k long, t string, s boolean")
     got = S.misreads(df.where("s"), "k", "t", S.grams(df, "t", "s")).collect()
     assert [tuple(r) for r in got] == [(100, "тлюз", "шлюз")]
+
+
+def test_headers_of_any_length_and_shuffled_candidates(spark, monkeypatch):
+    """A header of 200 characters is found; tables of candidates too large to broadcast give the same results."""
+    long = "The complete and unabridged local history of the river town " * 3
+    scanned = [(1, f"the water\n{long} | 4\nlevel"), (2, "The o1d mill starids near the vvater gate."), (3, f"the gate\n{long} 17\nof the town"), (4, "plain lines\nof text here")]
+    df, own, counts = setting(spark, scanned)
+    heads = S.header_lines(spark.createDataFrame([("d", f"{long} 9")], "doc string, text string"), "doc", "text")
+    want = {(1, "header", 1), (3, "header", 1)}, {(2, "o1d", "old"), (2, "starids", "stands"), (2, "vvater", "water")}
+    for most in (S.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(S, "BROADCAST_BYTES", most)
+        assert {tuple(r) for r in S.line_findings(own, "k", "text", "doc", heads).collect()} == want[0]
+        assert {tuple(r) for r in S.misreads(own, "k", "text", counts).collect()} == want[1]
+
+
+def spoil(text, rng):
+    """What scanning does, on clean text: misread letters, words broken over lines, page numbers between lines."""
+    swap = {"l": "1", "o": "0", "e": "c", "m": "rn", "n": "ri", "w": "vv", "s": "5", "t": "+", "a": "@", "d": "ci", "h": "li", "и": "н", "б": "6"}
+    words = ["".join(swap[c] if c in swap and rng.random() < 0.3 else c for c in w) if w.isalpha() and len(w) > 4 and rng.random() < 0.15 else w for w in text.split(" ")]
+    lines, line = [], ""
+    for w in words:
+        if line and len(line) + len(w) > 50:
+            cut = rng.randint(2, len(w) - 2) if w.isalpha() and len(w) > 5 and rng.random() < 0.5 else 0
+            lines.append(f"{line} {w[:cut]}-" if cut else line)
+            if rng.random() < 0.1:
+                lines.append(f"- {rng.randint(2, 400)} -")
+            line = w[cut:]
+        else:
+            line = f"{line} {w}" if line else w
+    return "\n".join([*lines, line])
+
+
+def test_repair_of_spoilt_clean_texts(spark, d):
+    """Held-out: clean texts of the table, spoilt, come out word for word as they were."""
+    import random
+
+    clean = spark.read.parquet(f"{d}/elements.parquet").where("label = 'Text' AND NOT coalesce(ocr.is_ocr, false) AND length(text) > 200 AND text NOT LIKE '%\n%' AND octet_length(text) = length(text)")
+    texts = [r["text"] for r in clean.select("text").distinct().orderBy("text").collect() if " " in r["text"]]
+    rng = random.Random(3)
+    pairs = [(i, t, spoil(t, rng)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(i, "d", b, True) for i, _, b in pairs], "k long, doc string, text string, s boolean")
+    every = df.select("text", "s").unionByName(clean.selectExpr("text", "false AS s"))
+    counts = S.grams(every, "text", "s")
+    none = S.header_lines(df.where("false"), "doc", "text")
+    got = {r["id"]: r["repaired"] for r in S.reflow(df, "k", "text", S.line_findings(df, "k", "text", "doc", none), S.misreads(df, "k", "text", counts)).collect()}
+    right = wrong = spoilt = 0
+    for i, t, b in pairs:
+        want, have = t.split(), got[i].split()
+        spoilt += sum(x != y for x, y in zip(want, b.replace("-\n", "").split()))
+        if len(want) == len(have):
+            right += sum(x == y for x, y in zip(want, have))
+        wrong += len(want) - (sum(x == y for x, y in zip(want, have)) if len(want) == len(have) else 0)
+    print(f"texts {len(pairs)}, words right {right}, wrong {wrong}, spoilt {spoilt}")
+    assert right / (right + wrong) > 0.97

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,9 +53,28 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_alike_classes(rows, "elem_id", "text").withColumnRenamed("id", "elem_id")
 
 
+_MODELS: dict = {}
+
+
+def once(spark: SparkSession, d: str, name: str, make: "Callable[[], object]"):
+    """A model fitted on the tables of d, once an application; all are of fixed size."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _MODELS:
+        _MODELS[key] = make()
+    return _MODELS[key]
+
+
+def chains(spark: SparkSession, d: str) -> garble.ChainModel:
+    return once(spark, d, "chains", lambda: garble.fit([t for _, t in sample_texts(spark, d)]))
+
+
+def languages(spark: SparkSession, d: str) -> language.LanguageModel:
+    return once(spark, d, "languages", lambda: language.fit(sample_texts(spark, d)))
+
+
 def quality_rules(spark: SparkSession, d: str) -> tuple[list[str], quality.RuleList]:
-    common = quality.common_words(load(spark, d, "common_words"))
-    return common, quality.fit(spark, load(spark, d, "lang_samples"), common, max_samples=MAX_SAMPLES)
+    common = once(spark, d, "common", lambda: quality.common_words(load(spark, d, "common_words")))
+    return common, once(spark, d, "rules", lambda: quality.fit(spark, load(spark, d, "lang_samples"), common, max_samples=MAX_SAMPLES))
 
 
 def p2_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -70,14 +90,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
     """Every text as restored, with its chain (null if clean)."""
-    model = garble.fit([t for _, t in sample_texts(spark, d)])
-    return garble.with_repair(all_texts(spark, d), "text", model).select("elem_id", "chain", "repaired_text")
+    return garble.with_repair(all_texts(spark, d), "text", chains(spark, d)).select("elem_id", "chain", "repaired_text")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    model = garble.fit([t for _, t in sample_texts(spark, d)])
     rows = spread(load(spark, d, "elements").select("elem_id", "text"))
-    return garble.with_repair(rows, "text", model).where("chain IS NOT NULL").select("elem_id").distinct()
+    return garble.with_repair(rows, "text", chains(spark, d)).where("chain IS NOT NULL").select("elem_id").distinct()
 
 
 #: labels of running text, in both spellings
@@ -93,8 +111,7 @@ def running_texts(spark: SparkSession, d: str, *columns: str, where: str = "true
 
 
 def judged_languages(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
-    samples = sample_texts(spark, d)
-    return language.with_language(rows, "text", language.fit(samples), garble.fit([t for _, t in samples]))
+    return language.with_language(rows, "text", languages(spark, d), chains(spark, d))
 
 
 def p4_languages(spark: SparkSession, d: str) -> DataFrame:
@@ -141,24 +158,23 @@ def p5_rebuilt(spark: SparkSession, d: str) -> DataFrame:
     return by.select("item_kind", "item_id", F.md5(F.array_join(own, "")).alias("digest"), fits.alias("fits"), meets.alias("meets"), (F.size("p") == F.col("n_pieces")).alias("numbered"))
 
 
-def scan_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(scanned texts, line findings, misread words, texts of lone glyphs)."""
+def scan_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scanned texts, line findings, misread words)."""
     every = load(spark, d, "elements")
     texts = stash(running_texts(spark, d, "pdf_id", where="ocr.is_ocr").select("elem_id", "pdf_id", "text"), "scanned")
     headers = scans.header_lines(every.where(F.col("label").isin("PageHeader", "Page-Header")), "pdf_id", "text")
     words = every.where(F.col("label").isin(*RUNNING)).select("text", F.col("ocr.is_ocr").alias("scanned"))
     counts = stash(scans.grams(spread(words), "text", "scanned"), "grams")
-    return texts, scans.line_findings(texts, "elem_id", "text", "pdf_id", headers), scans.misreads(texts, "elem_id", "text", counts), texts.where(scans.lone_glyphs(F.col("text"))).select("elem_id")
+    return texts, scans.line_findings(texts, "elem_id", "text", "pdf_id", headers), scans.misreads(texts, "elem_id", "text", counts)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    _, lines, words, glyphs = scan_parts(spark, d)
-    found = lines.select("id").unionByName(words.select("id")).unionByName(glyphs.select(F.col("elem_id").alias("id")))
-    return found.select(F.col("id").alias("elem_id")).distinct()
+    _, lines, words = scan_parts(spark, d)
+    return lines.select("id").unionByName(words.select("id")).select(F.col("id").alias("elem_id")).distinct()
 
 
 def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
-    texts, lines, words, _ = scan_parts(spark, d)
+    texts, lines, words = scan_parts(spark, d)
     return scans.reflow(texts, "elem_id", "text", lines, words).select(F.col("id").alias("elem_id"), "repaired")
 
 

@@ -33,8 +33,10 @@ CLASSES = {"e": "c", "0": "o", "о": "o", "@": "a", "!": "i", "1": "i", "l": "i"
 LEAST_COUNT, LEAST_RATIO = 3, 20
 #: sound words of at least this part of all occurrences (so at most as many words) are broadcast, to spare theirs the join
 SOUND_WORDS = 20_000
-#: a table of candidates of at most so many rows is broadcast; a larger one is shuffled
-BROADCAST_ROWS = 200_000
+#: a table of candidates of at most so many bytes is broadcast; a larger one is shuffled
+BROADCAST_BYTES = 32 << 20
+#: parts that the rows of one key are dealt over where a table is shuffled
+SALTS = 32
 
 HYPHENS = "-‐‑¬=~\xad"
 BROKEN = regex.compile(rf"(?<=\p{{L}})[{HYPHENS}][ \t]*\n[ \t]*(?=\p{{L}})")
@@ -125,14 +127,23 @@ def confusions(counts: DataFrame) -> DataFrame:
     return pairs.select(F.col("word").alias("rare"), "form", F.col("clean").alias("rare_clean"), "form_clean")
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _meet(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """big joined with a table of candidates, kept in the shared folder, whose size decides how.
+
+    Up to BROADCAST_BYTES it is broadcast.  A larger one is repeated for each of
+    SALTS parts and big is dealt over them, since one word or line may be that of
+    a third of all rows.
+    """
+    size = sum([F.octet_length(F.col(f.name).cast("string")) if f.dataType.simpleString() == "string" else F.lit(16) for f in small.schema.fields], F.lit(32))
+    if (small.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES:
+        return big.join(F.broadcast(small), keys, how)
+    dealt = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
+    return dealt.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "_salt"], how).drop("_salt")
 
 
 def misreads(df: DataFrame, key: str, text: str, counts: DataFrame) -> DataFrame:
     """(id, rare, form): the misread words of scanned texts, with the form to put in their place."""
     pairs = stash(confusions(counts), "confusions")
-    n = pairs.count()
     words = counts.where(~F.col("gram").contains(" "))
     total = words.agg(F.sum("n")).first()[0] or 0
     # at most SOUND_WORDS words can each have that share of all occurrences: the set is bounded whatever the corpus
@@ -157,41 +168,31 @@ def misreads(df: DataFrame, key: str, text: str, counts: DataFrame) -> DataFrame
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("t")).where("id IS NOT NULL AND t <> ''")
     id_type = rows.schema["id"].dataType.simpleString()
     odd = rows.mapInPandas(emit, f"id {id_type}, before string, rare string, after string")
-    hits = stash(odd.join(_sized(pairs, n), "rare").select("id", "before", "rare", "after", "form", "form_clean"), "hits")
-    asked = hits.select(F.concat_ws(" ", "before", "form").alias("gram")).unionByName(hits.select(F.concat_ws(" ", "form", "after").alias("gram"))).where(F.col("gram").contains(" ")).distinct()
-    m = asked.count()
-    seen = stash(counts.where("clean > 0").join(_sized(asked, m), "gram", "left_semi").select("gram", "clean"), "seen")
-    m = seen.count()
-    left, right = _sized(seen.select(F.col("gram").alias("lg"), F.col("clean").alias("ln")), m), _sized(seen.select(F.col("gram").alias("rg"), F.col("clean").alias("rn")), m)
-    got = hits.join(left, F.concat_ws(" ", "before", "form") == F.col("lg"), "left").join(right, F.concat_ws(" ", "form", "after") == F.col("rg"), "left")
+    hits = stash(_meet(odd, pairs, ["rare"]).select("id", "before", "rare", "after", "form", "form_clean"), "hits")
+    left, right = F.when(F.col("before").isNotNull(), F.concat_ws(" ", "before", "form")), F.when(F.col("after").isNotNull(), F.concat_ws(" ", "form", "after"))
+    asked = stash(hits.select(F.explode(F.array(left, right)).alias("gram")).where("gram IS NOT NULL").distinct(), "asked")
+    seen = stash(_meet(counts.where("clean > 0"), asked, ["gram"], "left_semi").select("gram", "clean"), "seen")
+    got = hits.withColumns({"lg": left, "rg": right})
+    for gram, n in (("lg", "ln"), ("rg", "rn")):
+        got = _meet(got, seen.select(F.col("gram").alias(gram), F.col("clean").alias(n)), [gram], "left")
     support = F.coalesce("ln", F.lit(0)) + F.coalesce("rn", F.lit(0))
     both = F.col("ln").isNotNull() & F.col("rn").isNotNull()
     edge = F.col("before").isNull() | F.col("after").isNull()
     glyph = F.col("rare").rlike("[@!+|~0-9]")
     sure = F.when(F.length("rare") <= 2, both | (edge & (support > 0) & glyph)).otherwise(support > 0)
-    named = glyph & F.col("rare").rlike("^\\p{L}{2,}[@!+|~0-9]\\p{L}{2,}$")
     # of the forms that the neighbours support the one they support most, then the most frequent
-    judged = got.where(sure | named).select("id", "rare", F.struct(support.alias("support"), "form_clean", "form").alias("best"))
+    judged = got.where(sure).select("id", "rare", F.struct(support.alias("support"), "form_clean", "form").alias("best"))
     return judged.groupBy("id", "rare").agg(F.max("best").alias("best")).select("id", "rare", F.col("best.form").alias("form"))
 
 
-def lone_glyphs(text: Column) -> Column:
-    """A scanner's glyph within a word that no frequent form explains: letters around a sign no word holds."""
-    return text.rlike("\\p{Ll}{2}[@!+~|]\\p{Ll}|\\p{Ll}[@!+~|]\\p{Ll}{2}")
-
-
 def noise_lines(lines: list[str]) -> tuple[list[int], list[int]]:
-    """(page-number lines, lines short enough for a header) of a text of several lines."""
-    numbers, shorts = [], []
+    """(page-number lines, the other lines that are not blank) of a text of several lines."""
+    numbers, others = [], []
     for i, line in enumerate(lines):
         s = line.strip()
-        if not s or len(s) > 80:
-            continue
-        if PAGE_NUMBER.match(s) and not SENTENCE_NUMBER.match(s):
-            numbers.append(i)
-        else:
-            shorts.append(i)
-    return numbers, shorts
+        if s:
+            (numbers if PAGE_NUMBER.match(s) and not SENTENCE_NUMBER.match(s) else others).append(i)
+    return numbers, others
 
 
 def line_findings(df: DataFrame, key: str, text: str, document: str, headers: DataFrame) -> DataFrame:
@@ -200,6 +201,7 @@ def line_findings(df: DataFrame, key: str, text: str, document: str, headers: Da
     headers: (document, masked, tail) of the page headers.  A line is a header
     if it repeats one of its document, or if it stands in two texts of its
     document at least and its tail is that of a header of any document.
+    Lines of any length are compared, by the digests of their masks.
     """
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,22 +212,23 @@ def line_findings(df: DataFrame, key: str, text: str, document: str, headers: Da
                     rows.append((k, doc, "broken", -1, None, None))
                 if "\n" in t:
                     lines = t.split("\n")
-                    numbers, shorts = noise_lines(lines)
+                    numbers, others = noise_lines(lines)
                     rows += [(k, doc, "page_number", i, None, None) for i in numbers]
-                    rows += [(k, doc, "line", i, m, tail(lines[i])) for i in shorts if (m := mask(lines[i]))]
+                    rows += [(k, doc, "line", i, m, tail(lines[i]) or None) for i in others if (m := mask(lines[i]))]
             if rows:
                 yield pd.DataFrame(rows, columns=["id", "doc", "finding", "line_no", "masked", "tail"])
 
+    digest = lambda c: F.unhex(F.md5(c)).alias(c)
     rows = df.select(F.col(key).alias("id"), F.col(document).cast("string").alias("doc"), F.col(text).alias("t")).where("id IS NOT NULL AND contains(t, '\n')")
     id_type = rows.schema["id"].dataType.simpleString()
     found = rows.mapInPandas(find, f"id {id_type}, doc string, finding string, line_no int, masked string, tail string")
-    found = stash(found, "lines")
-    heads = headers.select(F.col("document").cast("string").alias("doc"), "masked").where("masked <> ''").distinct()
-    tails = headers.select("tail").where("length(tail) >= 4").distinct()
+    found = stash(found.select("id", "doc", "finding", "line_no", digest("masked"), digest("tail")), "lines")
+    heads = headers.select(F.col("document").cast("string").alias("doc"), digest("masked")).where("masked IS NOT NULL").distinct()
+    tails = stash(headers.where("length(tail) >= 4").select(digest("tail")).distinct(), "tails")
     lines = found.where("finding = 'line'")
-    again = lines.where("tail <> ''").join(tails, "tail", "left_semi")
-    often = again.select("doc", "masked", "id").distinct().groupBy("doc", "masked").agg(F.count("*").alias("c")).where("c > 1").select("doc", "masked")
-    matched = lines.join(heads.unionByName(often).distinct(), ["doc", "masked"], "left_semi").select("id", F.lit("header").alias("finding"), "line_no")
+    again = _meet(lines, tails, ["tail"], "left_semi")
+    often = again.groupBy("doc", "masked").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("doc", "masked")
+    matched = _meet(lines, stash(heads.unionByName(often).distinct(), "heads"), ["doc", "masked"], "left_semi").select("id", F.lit("header").alias("finding"), "line_no")
     return found.where("finding <> 'line'").select("id", "finding", "line_no").unionByName(matched).distinct()
 
 
