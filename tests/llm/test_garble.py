@@ -10,29 +10,54 @@ def model(samples):
 
 @pytest.mark.parametrize("chain", sorted(G.CHAINS))
 def test_round_trip(chain):
-    text = {"cp1251": "Старая мельница", "koi8_r": "Старая мельница", "cp866": "Старая мельница", "cp1250": "Zażółć", "iso8859_2": "żółw"}.get(G.CHAINS[chain][0][0], "Zażółć é ä Старая “x” …")
+    text = {"cp1251": "Старая мельница", "koi8_r": "Старая мельница", "cp866": "Старая мельница", "cp1250": "Zażółć", "iso8859_2": "żółw", "cp1252": "“x” – é"}.get(G.CHAINS[chain][0][0], "Zażółć é ä Старая “x” …")
     bad = G.garble(text, chain)
     assert bad is not None and bad != text and G.restore(bad, chain) == text
     assert G.restore("日本", chain) is None
 
 
-@pytest.mark.parametrize("chain", ["utf-8>cp1252", "utf-8>latin-1", "utf-8>mac_roman", "utf-8>cp437", "utf-8>cp850", "utf-8>cp1252>utf-8>cp1252", "utf-8>latin-1>utf-8>cp1252"])
-def test_strict_chains_are_restored(model, samples, chain):
-    held = [t for lang, t in samples if lang in ("de", "fr", "es", "pt", "pl", "it")][::4]
-    hits = total = 0
-    for t in held:
-        if t.isascii():
-            continue
-        total += 1
-        found, fixed = G.repair(G.garble(t, chain), model)
-        hits += found is not None and fixed == t
-    assert hits / total > 0.9
+@pytest.fixture(scope="module")
+def held_out(samples):
+    """(a model of two thirds of the samples, the texts of the other third)"""
+    return G.fit([t for i, (_, t) in enumerate(samples) if i % 3]), [(lang, t) for i, (lang, t) in enumerate(samples) if not i % 3]
+
+
+@pytest.mark.parametrize("chain", sorted(G.CHAINS))
+def test_held_out_chains(held_out, chain):
+    """Of texts the model has not seen: garbled ones come out as they were, with one chain a record."""
+    model, texts = held_out
+    langs = {"cp1251": ("ru",), "koi8_r": ("ru",), "cp866": ("ru",), "cp1250": ("pl",), "iso8859_2": ("pl",)}.get(G.CHAINS[chain][0][0], ("de", "fr", "es", "pt", "pl", "it", "ru"))
+    own = [(t, bad) for lang, t in texts if lang in langs and (bad := G.garble(t if chain != "cp1252>latin-1" else f"“{t}” – so", chain)) not in (None, t)]
+    got = [(t, G.repair(bad, model)) for t, bad in own]
+    found, whole, single = (sum(x) / len(own) for x in (tuple(c is not None for _, (c, _) in got), tuple(f in (t, f"“{t}” – so") for t, (_, f) in got), tuple(c is not None and "+" not in c for _, (c, _) in got)))
+    print(chain, len(own), "found", round(found, 3), "restored", round(whole, 3), "one chain", round(single, 3))
+    least = 0.7 if chain in (*G.CYRILLIC_READ, "koi8_r>cp1251") else 0.9  # there a letter is proved by others only, and some texts have one
+    assert len(own) >= 8 and found > least and whole > least and single > least
+
+
+def test_held_out_clean_texts_stay(held_out):
+    model, texts = held_out
+    assert [t for _, t in texts if G.repair(t, model)[0]] == []
+
+
+OTHER = ["Η παλιά γέφυρα του χωριού", "הגשר הישן של הכפר", "الجسر القديم في القرية", "村の古い橋を渡る", "Chiếc cầu cũ của làng đã được sửa", "Podul vechi și țara întreagă", "गाँव का पुराना पुल", "สะพานเก่าของหมู่บ้าน", "村里的旧桥很长", "마을의 오래된 다리"]
+
+
+@pytest.mark.parametrize("chain", ["utf-8>cp1252", "utf-8>latin-1", "utf-8>cp437", "utf-8>cp1252>utf-8>cp1252"])
+def test_scripts_without_samples(model, chain):
+    for t in OTHER:
+        assert G.repair(t, model) == (None, t)
+        assert G.repair(G.garble(t, chain), model) == (chain, t)
 
 
-@pytest.mark.parametrize("chain", ["cp1251>cp1252", "koi8_r>cp1251", "utf-8>cp1251"])
-def test_russian_chains_are_found(model, samples, chain):
-    own = [bad for lang, t in samples if lang == "ru" and (bad := G.garble(t, chain))][::2]
-    assert len(own) > 5 and sum(G.repair(t, model)[0] is not None for t in own) / len(own) > 0.9
+def test_places_in_the_stored_text(model):
+    text = "Grüße. " + "Ein Satz ohne Umlaut. " + "Schöne Übersicht"
+    bad = G.garble(text, "utf-8>cp1252>utf-8>cp1252")
+    chain, fixed, stages = G.repair_placed(bad, model)
+    assert fixed == text
+    for word in ("Ein", "Satz", "Sch", "bersicht"):
+        assert G.stored_place(text.index(word), stages) == bad.index(word)
+    assert G.stored_place(0, stages) == 0 and G.stored_place(len(text), stages) == len(bad)
 
 
 def test_clean_texts_stay(model, samples):
@@ -42,8 +67,9 @@ def test_clean_texts_stay(model, samples):
 
 
 def test_losses_are_found(model):
-    assert G.repair("V�lgall", model) == ("lost", "V�lgall")
-    assert G.repair("plain \x93 text", model)[0] == "lost"
+    assert G.repair("V�lgall", model) == (G.FROM_8_BIT, "V�lgall")
+    assert G.repair("R��sum��", model)[0] in G.LOST and G.repair("x �?", model)[0] in G.LOST
+    assert G.repair("plain \x93text\x94", model) == ("cp1252>latin-1", "plain “text”")
     assert G.repair("", model) == (None, "") and G.repair("a\x85b", model)[0] is None
 
 
