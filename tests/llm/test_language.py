@@ -62,6 +62,24 @@ def test_column_form(spark, model, split, samples):
         L.fit([])
 
 
+def test_what_is_in_no_language(model, split):
+    for t in ("村里的旧桥很长而且很美", "Η παλιά γέφυρα του χωριού είναι μεγάλη", "asdkjh qwoeiu zmxnbv qpwoei alskdj fhgjty", "rsp zfpfcxrvmp zrmxkwhnrcv mm pkxjdhcwnv"):
+        name, confidence, passages = L.judge([t], model)[0]
+        assert name == "und" and 0 < confidence <= 1 and passages == [(0, len(t), "und", confidence)]
+    assert all(g[0] == lang for g, (lang, _) in zip(L.judge([t for _, t in split[1]], model), split[1]))
+
+
+def test_passages_are_places_in_the_stored_text(spark, split, samples):
+    by = {lang: t for lang, t in split[1]}
+    de, fr = by["de"] + " Die Übersicht prüft größere Flächen.", by["fr"]
+    stored = garble.garble(f"{de}\n{fr}", "utf-8>cp1252>utf-8>cp1252")
+    df = spark.createDataFrame([(1, stored)], "k int, t string")
+    row = L.with_language(df, "t", L.fit(samples), garble.fit([t for _, t in samples])).first()
+    parts = [(p["language"], p["start"], p["end"]) for p in row["passages"]]
+    assert [p[0] for p in parts] == ["de", "fr"] and parts[0][1] == 0 and parts[1][2] == len(stored) and parts[0][2] == parts[1][1]
+    assert abs(parts[1][1] - stored.index("\n")) <= 1
+
+
 def test_names_of_languages(spark):
     cases = {"en": "en", "EN": "en", "en-GB": "en", "nl_BE": "nl", "deu": "de", "ger": "de", "rus": "ru", " fr ": "fr", "und": None, "zxx": None, "": None, "unknown": None, None: None, "xx-en": None}
     df = spark.createDataFrame([(k,) for k in cases], "l string")

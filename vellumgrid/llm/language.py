@@ -5,6 +5,10 @@ The log-probability matrix (bins by languages, of fixed size) is broadcast; a
 batch of texts becomes one array of code points, hashed, looked up and summed
 by segment in numpy.
 
+A background class of fixed likelihood a letter takes texts that look like none
+of the languages (another script, noise): they are 'und'.  Passages are places in
+the text as stored, also where it was repaired before scoring.
+
 Defined cases: a null, empty or letterless text has a null language and no
 passages; ties go to the language first in the alphabet; repeated rows are
 judged alike; other columns pass through, clashing output names are replaced;
@@ -31,6 +35,8 @@ ORDERS = (2, 3, 4)
 LEAST_WORDS, LEAST_LETTERS = 7, 34
 #: natural-log advantage of another language that makes a passage of its own
 LEAST_GAIN = 14.0
+#: likelihood (natural log) a letter of what is in none of the languages; unknown words of a known one reach about -36, other scripts and noise -39 and less
+UNKNOWN, LEAST_LIKELIHOOD = "und", -37.5
 CHUNK = 300_000
 BLOCK = 100_000
 
@@ -183,15 +189,18 @@ def _judge_chunk(texts: list[str], model: LanguageModel) -> list:
             passages = _passages(score[a:b], n_words[a:b], n_letters[a:b], first[a:b] - starts[k], inside, int(lengths[k]), model, int(best[k]))
         else:
             passages = []
-        conf = _confidence(whole[k], size[k])
+        conf, name = _confidence(whole[k], size[k]), model.langs[best[k]]
+        if whole[k, best[k]] < LEAST_LIKELIHOOD * size[k]:
+            name, passages = UNKNOWN, []
         if not passages:
-            passages = [(0, int(lengths[k]), model.langs[best[k]], conf)]
-        out.append((model.langs[best[k]], conf, passages))
+            passages = [(0, int(lengths[k]), name, conf)]
+        out.append((name, conf, passages))
     return out
 
 
 def _confidence(score: np.ndarray, n: float) -> float:
-    """Posterior with a temperature: neighbouring n-grams overlap and are no independent proofs."""
+    """Posterior of the best class with a temperature: neighbouring n-grams overlap and are no independent proofs."""
+    score = np.append(score, LEAST_LIKELIHOOD * n)
     z = (score - score.max()) / max(1.0, np.sqrt(n))
     return float(1 / np.exp(z).sum())
 
@@ -244,9 +253,9 @@ RESULT = T.StructType([T.StructField("language", T.StringType()), T.StructField(
 
 
 def with_language(df: DataFrame, text: str, model: LanguageModel, repairs: "garble.ChainModel | None" = None, language: str = "language", confidence: str = "language_confidence", passages: str = "passages") -> DataFrame:
-    """df with language, confidence and passages (offsets into the text as judged).
+    """df with language, confidence and passages (start and end in the text as stored).
 
-    With repairs, garbled runs are restored before scoring.
+    With repairs, garbled records are restored before scoring.
     """
     shared = df.sparkSession.sparkContext.broadcast((model, repairs))
 
@@ -254,10 +263,11 @@ def with_language(df: DataFrame, text: str, model: LanguageModel, repairs: "garb
     def run(texts: pd.Series) -> pd.DataFrame:
         model, repairs = shared.value
         some = [(i, t) for i, t in enumerate(texts) if t is not None]
-        clean = [t if repairs is None or t.isascii() else garble.repair(t, repairs)[1] for _, t in some]
+        clean = [(t, []) if repairs is None or t.isascii() else garble.repair_placed(t, repairs)[1:] for _, t in some]
         got: list = [(None, None, None)] * len(texts)
-        for (i, _), g in zip(some, judge(clean, model)):
-            got[i] = (g[0], g[1], [{"start": a, "end": b, "language": c, "confidence": d} for a, b, c, d in g[2]])
+        for (i, t), (fixed, edits), g in zip(some, clean, judge([c for c, _ in clean], model)):
+            place = lambda p, n=len(fixed), m=len(t), e=edits: m if p == n else garble.stored_place(p, e)
+            got[i] = (g[0], g[1], [{"start": place(a), "end": place(b), "language": c, "confidence": d} for a, b, c, d in g[2]])
         return pd.DataFrame(got, columns=["language", "confidence", "passages"]).astype({"language": object, "passages": object})
 
     got = df.drop(language, confidence, passages).withColumn("_l", run(F.col(text)))

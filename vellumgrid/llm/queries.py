@@ -115,7 +115,7 @@ def judged_languages(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
 
 
 def p4_languages(spark: SparkSession, d: str) -> DataFrame:
-    """Language, confidence and passages of every text; offsets are into its repaired_text of p3_repaired."""
+    """Language, confidence and passages of every text; start and end are places in the stored text."""
     rows = all_texts(spark, d, "label", "lang")
     return judged_languages(spark, d, rows).select("elem_id", "label", "lang", "language", "language_confidence", "passages")
 
@@ -124,7 +124,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     judged = judged_languages(spark, d, running_texts(spark, d, "lang")).select("elem_id", "lang", F.array_distinct(F.transform("passages", lambda p: p["language"])).alias("langs"))
     one = F.size("langs") == 1
     wrong = ~F.coalesce(language.named_language(F.col("lang")) == F.element_at("langs", 1), F.lit(False))
-    return judged.where((one & wrong) | (F.size("langs") > 1)).select("elem_id", F.explode("langs").alias("lang")).distinct()
+    return judged.where(((one & wrong) | (F.size("langs") > 1)) & ~F.array_contains("langs", language.UNKNOWN)).select("elem_id", F.explode("langs").alias("lang")).distinct()
 
 
 def limits(spark: SparkSession, d: str) -> dict[str, tuple[int, int]]:
