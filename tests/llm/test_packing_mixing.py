@@ -19,6 +19,31 @@ def test_subset_sum_is_the_best(left, room):
     assert sum(s * n for s, n in got.items()) == max(reach)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_subset_sum_is_the_best_beyond_the_window(seed):
+    """Several hundred sizes, of which the window tries 64 first: the fullest filling all the same."""
+    rng = random.Random(seed)
+    left = {rng.randint(200, 2000): rng.randint(1, 3) for _ in range(300)}
+    for room in (777, 1500, 2047, 3999):
+        reach = 1
+        for s, n in left.items():
+            for _ in range(n):
+                reach |= (reach << s) & ((1 << (room + 1)) - 1)
+        got = P._best_subset(left, room, 64)
+        assert all(n <= left[s] for s, n in got.items()) and sum(s * n for s, n in got.items()) == reach.bit_length() - 1
+
+
+def test_kinds_together_equal_kinds_alone(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, rng.randint(1, 300)) for i in range(500)], "k long, n long")
+    got = P.pack_kinds(df, {"small": 90, "large": 700}, "k", "n").collect()
+    for kind, capacity in (("small", 90), ("large", 700)):
+        own = {(r["id"], r["piece_no"], r["size"], r["container"]) for r in got if r["kind"] == kind}
+        assert own == {(r["id"], r["piece_no"], r["size"], r["container"]) for r in P.pack(df, capacity, "k", "n").collect()}
+    assert P.pack_kinds(df, {}, "k", "n").count() == 0
+    assert P.pack_kinds(df, {f"k{i}": 100 + i for i in range(101)}, "k", "n").select("kind").distinct().count() == 101
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 9), max_size=15))
 def test_fill_uses_everything_once(counts):

@@ -73,7 +73,8 @@ def mix(records: DataFrame, key: str, source: str, size: str, targets: dict[str,
         if share < 0 or repeats < 1:
             raise ValueError(f"target {share} with {repeats} uses of {s}")
     rows = records.select(F.col(key).alias("id"), F.col(source).alias("source"), F.col(size).cast("long").alias("n_tokens")).where("id IS NOT NULL AND n_tokens > 0").where(F.col("source").isin(list(targets)))
-    rows = stash(rows.dropDuplicates(["id"]), "mix")
+    # of rows of one id that differ the least counts, whatever their order
+    rows = stash(rows.groupBy("id").agg(F.min(F.struct("source", "n_tokens")).alias("r")).select("id", "r.*"), "mix")
     known = rows.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()  # one row a targeted source
     sizes = {r["source"]: r["t"] for r in known}
     bits = max(4, (max([r["n"] for r in known], default=1) // PART_ROWS).bit_length())

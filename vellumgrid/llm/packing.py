@@ -18,10 +18,11 @@ a capacity below 1 is a ValueError.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import os
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +38,7 @@ _ENCODINGS: dict = {}
 
 
 def encoding(path: str = VOCABULARY):
-    """The tokenizer, read once in each worker."""
+    """The tokenizer, read once in each process."""
     if path not in _ENCODINGS:
         import tiktoken
 
@@ -53,7 +54,12 @@ def count_tokens(text: str, path: str = VOCABULARY) -> int:
 
 
 def with_tokens(df: DataFrame, text: str, out: str = "n_tokens", path: str = VOCABULARY) -> DataFrame:
-    """df with the number of tokens of its text column (null for null)."""
+    """df with the number of tokens of its text column (null for null).
+
+    path is the driver's; the file is sent to the executors, which need no copy of their own.
+    """
+    df.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     @F.pandas_udf(T.LongType())
     def run(texts: pd.Series) -> pd.Series:
@@ -64,7 +70,7 @@ def with_tokens(df: DataFrame, text: str, out: str = "n_tokens", path: str = VOC
                 got.append(None)
             else:
                 if t not in seen:
-                    seen[t] = count_tokens(t, path)
+                    seen[t] = count_tokens(t, SparkFiles.get(name))
                 got.append(seen[t])
         return pd.Series(got, dtype="Int64")
 
@@ -139,34 +145,46 @@ def _subset(left: dict[int, int], room: int, fit: list[int]) -> dict[int, int]:
 
 
 def pack(items: DataFrame, capacity: int, key: str, size: str, window: int = 64) -> DataFrame:
-    """(id, piece_no, n_pieces, size, container): every piece of every item in one container.
+    """(id, piece_no, n_pieces, size, container): every piece of every item in one container."""
+    return pack_kinds(items, {"": capacity}, key, size, window).drop("kind")
+
 
-    Only the histogram (at most `capacity` rows) reaches the driver; slots are
-    written back as ranges, at most as many as there are patterns times sizes.
+def pack_kinds(items: DataFrame, capacities: dict[str, int], key: str, size: str, window: int = 64) -> DataFrame:
+    """(kind, id, piece_no, n_pieces, size, container): all items in containers of each kind.
+
+    The kinds are cut, counted and joined together, so their number adds no stage.
+    Only the histograms (at most as many rows as the capacities together) reach
+    the driver; slots are written back as ranges, at most as many as there are
+    patterns times sizes.
     """
-    if capacity < 1:
+    if any(c < 1 for c in capacities.values()):
         raise ValueError("the capacity must be at least 1")
     spark = items.sparkSession
-    rows = items.select(F.col(key).alias("id"), F.col(size).cast("long").alias("n")).where("id IS NOT NULL AND n > 0").dropDuplicates(["id"])
-    full = F.floor((F.col("n") - 1) / capacity)
-    cut = rows.withColumn("n_pieces", (full + 1).cast("int")).select("id", "n_pieces", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n_pieces")), lambda k: F.when(k < F.col("n_pieces"), F.lit(capacity)).otherwise(F.col("n") - (F.col("n_pieces") - 1) * capacity).cast("int"))).alias("piece_no", "size"))
-    parts = max(8, int(rows.agg(F.sum(full + 1)).first()[0] or 0) // PART_ROWS)
-    pieces = stash(numbered(cut, parts), f"pieces{capacity}")
-    counts = {r["size"]: r["n"] for r in pieces.groupBy("size").agg(F.count("*").alias("n")).collect()}
-    slots, at, used = [], 0, {}
-    for times, pattern in fill(counts, capacity, window):
-        for s, n in pattern.items():
-            a = used.get(s, 0)
-            slots.append((s, a, a + n * times, n, at))
-            used[s] = a + n * times
-        at += times
-    schema = T.StructType([T.StructField("size", T.IntegerType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("per", T.IntegerType()), T.StructField("first", T.LongType())])
-    ranges = spark.createDataFrame(slots, schema)
+    rows = items.select(F.col(key).alias("id"), F.col(size).cast("long").alias("n")).where("id IS NOT NULL AND n > 0").groupBy("id").agg(F.max("n").alias("n"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(c).cast("long").alias("capacity")) for k, c in sorted(capacities.items())])) if capacities else F.explode(F.array().cast("array<struct<kind:string,capacity:bigint>>"))
+    each = rows.select("id", "n", kinds.alias("k")).select("id", "n", "k.*").withColumn("n_pieces", (F.floor((F.col("n") - 1) / F.col("capacity")) + 1).cast("int"))
+    sizes = F.transform(F.sequence(F.lit(1), F.col("n_pieces")), lambda i: F.when(i < F.col("n_pieces"), F.col("capacity")).otherwise(F.col("n") - (F.col("n_pieces") - 1) * F.col("capacity")).cast("int"))
+    cut = each.select("kind", "id", "n_pieces", F.posexplode(sizes).alias("piece_no", "size"))
+    parts = max(8, int(each.agg(F.sum("n_pieces")).first()[0] or 0) // PART_ROWS)
+    pieces = stash(numbered(cut, parts), "pieces")
+    counts: dict[str, dict[int, int]] = {}
+    for r in pieces.groupBy("kind", "size").agg(F.count("*").alias("n")).collect():
+        counts.setdefault(r["kind"], {})[r["size"]] = r["n"]
+    slots = []
+    for kind, own in sorted(counts.items()):
+        at, used = 0, {}
+        for times, pattern in fill(own, capacities[kind], window):
+            for s, n in pattern.items():
+                a = used.get(s, 0)
+                slots.append((kind, s, a, a + n * times, n, at))
+                used[s] = a + n * times
+            at += times
+    ranges = spark.createDataFrame(slots, "kind string, size int, a long, b long, per int, first long")
     # numbers meet their range by the block of the size they fall into
     by = pieces.withColumn("block", (F.col("number") / BLOCK).cast("long"))
     spans = ranges.withColumn("block", F.explode(F.sequence((F.col("a") / BLOCK).cast("long"), ((F.col("b") - 1) / BLOCK).cast("long"))))
-    met = by.join(spans, ["size", "block"]).where("number >= a AND number < b")
-    return met.select("id", (F.col("piece_no") + 1).alias("piece_no"), "n_pieces", "size", (F.col("first") + ((F.col("number") - F.col("a")) / F.col("per")).cast("long")).alias("container"))
+    met = by.join(spans, ["kind", "size", "block"]).where("number >= a AND number < b")
+    return met.select("kind", "id", (F.col("piece_no") + 1).alias("piece_no"), "n_pieces", "size", (F.col("first") + ((F.col("number") - F.col("a")) / F.col("per")).cast("long")).alias("container"))
 
 
 BLOCK = 4096
@@ -175,14 +193,15 @@ PART_ROWS = 50_000
 
 
 def numbered(pieces: DataFrame, parts: int) -> DataFrame:
-    """pieces with number: 0, 1, 2 ... within a size, by hash part, id and piece.
+    """pieces with number: 0, 1, 2 ... within a kind and size, by hash part, id and piece.
 
     A size may be that of a third of all rows: numbers are counted within
     (size, part of the id's hash) and shifted by the parts before, so that no
     task ever sorts a whole size.
     """
+    own = ["kind", "size"]
     dealt = pieces.withColumn("part", F.pmod(F.xxhash64("id", "piece_no"), F.lit(parts)).cast("int"))
-    dealt = dealt.withColumn("rank", F.row_number().over(W.partitionBy("size", "part").orderBy("id", "piece_no")) - 1)
-    totals = dealt.groupBy("size", "part").agg(F.count("*").alias("c"))
-    before = totals.withColumn("shift", F.coalesce(F.sum("c").over(W.partitionBy("size").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("size", "part", "shift")
-    return dealt.join(before, ["size", "part"]).select("id", "piece_no", "n_pieces", "size", (F.col("rank") + F.col("shift")).alias("number"))
+    dealt = dealt.withColumn("rank", F.row_number().over(W.partitionBy(*own, "part").orderBy("id", "piece_no")) - 1)
+    totals = dealt.groupBy(*own, "part").agg(F.count("*").alias("c"))
+    before = totals.withColumn("shift", F.coalesce(F.sum("c").over(W.partitionBy(*own).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select(*own, "part", "shift")
+    return dealt.join(before, [*own, "part"]).select("kind", "id", "piece_no", "n_pieces", "size", (F.col("rank") + F.col("shift")).alias("number"))

@@ -185,24 +185,15 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_assign(spark: SparkSession, d: str) -> DataFrame:
-    tokens = token_counts(spark, d)
-    kinds = load(spark, d, "containers").select("container_kind", "capacity_tokens").orderBy("container_kind").limit(100).collect()
-    parts = [packing.pack(tokens, r[1], "doc_id", "n_tokens").select(F.lit(r[0]).alias("container_kind"), F.col("id").alias("doc_id"), "piece_no", "n_pieces", "size", "container") for r in kinds]
-    return union(parts)
-
-
-def union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    kinds = {r[0]: r[1] for r in few(load(spark, d, "containers").select("container_kind", "capacity_tokens"), MAX_SETTINGS)}
+    return packing.pack_kinds(token_counts(spark, d), kinds, "doc_id", "n_tokens").withColumnsRenamed({"kind": "container_kind", "id": "doc_id"})
 
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Containers used, tokens and share filled, by kind."""
+    """Containers used, the least that could hold the tokens, tokens and share filled, by kind."""
     used = p7_assign(spark, d).groupBy("container_kind", "container").agg(F.sum("size").alias("tokens"))
     caps = load(spark, d, "containers").select("container_kind", "capacity_tokens")
-    return used.groupBy("container_kind").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens")).join(caps, "container_kind").withColumn("filled", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
+    return used.groupBy("container_kind").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens")).join(caps, "container_kind").withColumn("least_containers", F.ceil(F.col("tokens") / F.col("capacity_tokens"))).withColumn("filled", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
 
 
 def mix_targets(spark: SparkSession, d: str) -> dict[str, tuple[float, int]]:

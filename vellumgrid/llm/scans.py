@@ -243,7 +243,7 @@ def reflow(df: DataFrame, key: str, text: str, findings: DataFrame, fixes: DataF
 
     Windows over the lines of a text see the line before; blank lines separate paragraphs.
     """
-    rows = df.select(F.col(key).alias("id"), F.col(text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL").dropDuplicates(["id"])
+    rows = df.select(F.col(key).alias("id"), F.col(text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL").groupBy("id").agg(F.min("t").alias("t"))
     lines = rows.select("id", F.posexplode(F.split("t", "\n")).alias("line_no", "line"))
     drop = findings.where("finding IN ('page_number', 'header')").select("id", "line_no").distinct()
     kept = lines.join(drop, ["id", "line_no"], "left_anti")
