@@ -208,3 +208,16 @@ def test_binarize_by_bytes():
     o = DetectOptions()
     p = np.array([[153 / 255, 154 / 255, 2.0, -1.0, np.nan]], dtype=np.float32)
     assert regions.binarize(p, o).tolist() == [[False, True, True, False, False]]
+
+
+def test_fix_text(spark):
+    from vellumgrid.operators import textsource
+
+    cases = {
+        "caf\u00c3\u00a9": "café", "\u00e2\u20ac\u0153x\u00e2\u20ac\u009d": '"x"', "\u00c3\u0192\u00c2\u00a9": "é", "a &amp; b &lt;c&gt; &#233;": "a & b <c> é", "<b>&amp;</b>": "<b>&amp;</b>",
+        "e\u0301": "é", "\x93x\x94": '"x"', "plain": "plain", "Ã": "Ã", "naïve – Ä€": "naïve – Ā", "ﬁ\r\nx": "fi\nx", "": "", None: None, "&nosuchentity; &": "&nosuchentity; &", "Ð¿Ñ\u20ac": "пр",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r["t"]: r["f"] for r in df.select("t", textsource.fix_text(F.col("t")).alias("f")).collect()}
+    assert got == cases
+    assert textsource.repair_characters("Ã" * 100_000) == "Ã" * 100_000

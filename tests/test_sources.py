@@ -179,3 +179,114 @@ def test_start_beyond_the_pages_is_an_error(spark):
     req = spark.createDataFrame(rows, "doc_id string, content binary, password string, start int, end int")
     got = backends.render_pages(req, fakes()[0]).where("error IS NOT NULL").select("doc_id", "page_no", "error").collect()
     assert sorted(tuple(r) for r in got) == [("beyond", None, "start 3 beyond 2 pages"), ("within", 1, "no page")]
+
+
+def request(spark, *docs):
+    return spark.createDataFrame([(d, bytearray(b"ok"), None, 0, 65535) for d in docs], "doc_id string, content binary, password string, start int, end int")
+
+
+def test_characters_come_with_the_model_and_a_failing_crop_is_an_error(spark):
+    """The list is read from the recogniser's metadata; one region fails, the others are read."""
+    renderer, layout, detector, plain = fakes()
+
+    class Model:
+        runs = 0
+
+        def metadata(self, key):
+            return "a\nb\n" if key == "character" else None
+
+        def run(self, x):
+            self.runs += 1
+            if self.runs == 2:
+                raise ValueError("no reading")
+            return plain.run(x)
+
+    class ThreeBoxes:
+        def run(self, x):
+            out = layout.run(x)
+            out[0, :4, 2] = (10, 50, 16, 16)
+            out[0, 4 + 6, 2] = 0.7
+            return out
+
+    result = pipeline.analyze(request(spark, "d"), pipeline.Backends(renderer, ThreeBoxes(), detector, Model()))
+    got = result.elements.select("text", "is_ocr").collect()
+    assert sorted(r["text"] for r in got) == ["", "ab\n", "ab\n"] and all(r["is_ocr"] for r in got)
+    assert sorted(r["error"] for r in result.errors.collect()) == ["no page", "no reading"]
+
+
+def test_no_characters_say_so(spark):
+    class Mute:
+        def metadata(self, key):
+            return ""
+
+    for model in (Mute(), fakes()[3]):
+        with pytest.raises(BackendMissing):
+            backends.model_characters(model)
+        with pytest.raises(BackendMissing):
+            pipeline.analyze(request(spark, "d"), pipeline.Backends(*fakes()[:3], model))
+
+
+def test_metadata_builds_the_session():
+    """A fresh model knows its metadata before it has run."""
+    model = backends.OnnxBackend("no such file.onnx")
+    with pytest.raises(Exception, match="(?i)no such file"):
+        model.metadata("character")
+
+
+def test_detector_errors_are_rows(spark):
+    class Broken:
+        def run(self, x):
+            raise ValueError("no detection")
+
+    renderer, layout, _, recognizer = fakes()
+    result = pipeline.analyze(request(spark, "d"), pipeline.Backends(renderer, layout, Broken(), recognizer, ["#", "a", "b", " "]))
+    assert result.elements.count() == 2 and {r["error"] for r in result.errors.collect()} == {"no page", "no detection"}
+
+
+def test_large_documents_are_rendered_in_blocks(spark):
+    class Book:
+        def page_count(self, content, password):
+            return len(content)
+
+        def render(self, content, password, page_no, size):
+            if page_no == 5:
+                raise ValueError("page five")
+            return np.zeros((2, 2, 3), dtype=np.uint8), 1.0, 1.0, 1.0
+
+    rows = [("book", bytearray(b"x" * 11), None, 1, 65535), ("sheet", bytearray(b"x"), None, 0, 65535), ("none", bytearray(b""), None, 0, 5), ("late", bytearray(b"x"), None, 3, 5)]
+    req = spark.createDataFrame(rows, "doc_id string, content binary, password string, start int, end int")
+    got = backends.render_pages(req, Book(), block=3).select("doc_id", "page_no", "error").collect()
+    assert sorted((r["doc_id"], r["page_no"]) for r in got if r["error"] is None) == [("book", n) for n in range(1, 11) if n != 5] + [("sheet", 0)]
+    assert sorted((r["doc_id"], r["error"]) for r in got if r["error"]) == [("book", "page five"), ("late", "start 3 beyond 1 pages")]
+
+
+def test_characters_of_failing_pages_are_rows(spark):
+    class Reader:
+        def page_count(self, content, password):
+            if content == b"bad":
+                raise ValueError("no document")
+            return 2
+
+        def chars(self, content, password, page_no):
+            if page_no:
+                raise ValueError("no text")
+            return [("a", 1.0, 2.0)]
+
+    rows = [("d", bytearray(b"ok"), None, 0, 9), ("e", bytearray(b"bad"), None, 0, 9)]
+    req = spark.createDataFrame(rows, "doc_id string, content binary, password string, start int, end int")
+    got = {(r["doc_id"], r["page_no"], r["ch"], r["error"]) for r in backends.page_chars(req, Reader()).collect()}
+    assert got == {("d", 0, "a", None), ("d", 1, None, "no text"), ("e", None, None, "no document")}
+
+
+def test_pages_leave_in_order_and_errors_beside_them(spark, tmp_path):
+    from vellumgrid.plans import cli
+
+    rows = spark.createDataFrame([(d, n, f"{d}{n}") for n in (3, 0, 2, 1) for d in "ba"], "doc_id string, page_no int, json string").repartition(5)
+    export.write_json(rows, str(tmp_path / "json"))
+    files = sorted((tmp_path / "json").glob("part-*"))
+    assert "".join(f.read_text() for f in files).split() == [f"{d}{n}" for d in "ab" for n in range(4)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(b"ok")
+    (tmp_path / "in" / "b.pdf").write_bytes(b"bad")
+    cli.run(spark, cli.arguments([str(tmp_path / "in"), str(tmp_path / "out"), "--mode", "Pdf"]), pipeline.Backends(*fakes()))
+    assert sorted(json.loads(r["value"])["error"] for r in spark.read.text(str(tmp_path / "out.errors")).collect()) == ["no document", "no page"]

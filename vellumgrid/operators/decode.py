@@ -37,8 +37,11 @@ def decode(raw: DataFrame, page: list[str], options: LayoutOptions = LayoutOptio
     return numbered(kept.withColumn("bbox", G.scale(held, back)), page, "anchor_idx").select(*page, "bbox_id", "label_id", "proba", "bbox")
 
 
-def overlap_pairs(df: DataFrame, page: list[str], key: str, least: float) -> DataFrame:
-    """(page..., a, b, overlap): pairs of a page, a before b, whose overlap ratio exceeds least."""
+def overlap_pairs(df: DataFrame, page: list[str], key: str, least: float, name: str | None = None) -> DataFrame:
+    """(page..., a, b, overlap): pairs of a page, a before b by key, whose overlap ratio exceeds least; with name, a and b are its values."""
+    if name:
+        got = overlap_pairs(df.withColumn("_k", F.struct(F.col(key).alias("k"), F.col(name).alias("n"))), page, "_k", least)
+        return got.withColumns({"a": F.col("a.n"), "b": F.col("b.n")})
     left = df.select(*page, F.col(key).alias("a"), F.col("bbox").alias("ba"))
     right = df.select(*page, F.col(key).alias("b"), F.col("bbox").alias("bb"))
     met = left.join(right, page).where("a < b").withColumn("overlap", G.overlap_ratio(F.col("ba"), F.col("bb")))

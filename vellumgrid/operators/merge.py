@@ -22,7 +22,7 @@ def _overlap(a: str, b: str) -> str:
 
 
 def fold(items: str, element: str, meets: str, absorb: str) -> str:
-    """SQL of the merge over the array column `items`, whose elements hold bbox and tag.
+    """SQL of the merge over the array column `items`, whose elements hold bbox, tag and their place j.
 
     meets and absorb speak of t.cur, t.tag (the survivor so far), o (its element) and c (a later element).
     """
@@ -34,15 +34,20 @@ def fold(items: str, element: str, meets: str, absorb: str) -> str:
       CAST(named_struct('gone', array(), 'out', array()) AS STRUCT<gone: ARRAY<INT>, out: ARRAY<{element}>>),
       (s, i) -> if(array_contains(s.gone, i), s,
         aggregate(
-          filter(transform({items}, (c, j) -> struct(c AS c, j AS j)), p -> p.j > i),
+          slice({items}, i + 2, size({items})),
           CAST(named_struct('cur', {items}[i].bbox, 'tag', {items}[i].tag, 'gone', s.gone) AS STRUCT<cur: {BOX}, tag: INT, gone: ARRAY<INT>>),
-          (t, p) -> transform(array(named_struct('o', {items}[i], 'c', p.c)), v -> if({meets},
+          (t, p) -> transform(array(named_struct('o', {items}[i], 'c', p)), v -> if({meets},
             CAST(named_struct('cur', {grown.replace('c.bbox', 'v.c.bbox')}, 'tag', {absorb}, 'gone', array_append(t.gone, p.j)) AS STRUCT<cur: {BOX}, tag: INT, gone: ARRAY<INT>>),
             CAST({inner} AS STRUCT<cur: {BOX}, tag: INT, gone: ARRAY<INT>>)))[0],
           t -> CAST(named_struct('gone', t.gone, 'out', array_append(s.out, named_struct('id', {items}[i].id, 'bbox', t.cur, 'tag', t.tag, 'proba', {items}[i].proba))) AS STRUCT<gone: ARRAY<INT>, out: ARRAY<{element}>>))),
       s -> s.out)"""
 
 
+def _placed(items: str) -> str:
+    """The array with the place of each element in it: made once, not for every survivor."""
+    return f"transform({items}, (x, j) -> named_struct('id', x.id, 'bbox', x.bbox, 'tag', x.tag, 'proba', x.proba, 'j', j)) AS {items}"
+
+
 _ELEMENT = f"STRUCT<id: INT, bbox: {BOX}, tag: INT, proba: FLOAT>"
 
 
@@ -59,7 +64,7 @@ def merge_overlapping(df: DataFrame, page: list[str], least_overlap: float = 0.4
     pages = df.groupBy(*page).agg(F.sort_array(F.collect_list(item)).alias("a"))
     # a page of one box has nothing to merge
     meets = f"{_overlap('t.cur', 'v.c.bbox')} > CAST({least_overlap!r}D AS FLOAT)"
-    merged = pages.select(*page, F.expr(fold("a", _ELEMENT, meets, "if(v.c.proba > v.o.proba, v.c.tag, t.tag)")).alias("out"))
+    merged = pages.selectExpr(*page, _placed("a")).select(*page, F.expr(fold("a", _ELEMENT, meets, "if(v.c.proba > v.o.proba, v.c.tag, t.tag)")).alias("out"))
     rows = merged.select(*page, F.posexplode("out").alias("rank", "e"))
     return rows.select(*page, F.col("e.id").alias("bbox_id"), F.col("e.tag").alias("label_id"), F.col("e.proba").alias("proba"), F.col("e.bbox").alias("bbox"), "rank")
 
@@ -73,6 +78,6 @@ def merge_lines(df: DataFrame, line: list[str], order: str = "x_rank", gap: floa
     item = F.struct(F.col(order).cast("int").alias("id"), F.col("bbox"), F.lit(0).alias("tag"), F.col("proba"))
     lines = df.groupBy(*line).agg(F.sort_array(F.collect_list(item)).alias("a"))
     meets = f"v.c.bbox.x0 - t.cur.x1 < CAST({gap!r}D AS FLOAT)"
-    merged = lines.select(*line, F.expr(fold("a", _ELEMENT, meets, "t.tag")).alias("out"))
+    merged = lines.selectExpr(*line, _placed("a")).select(*line, F.expr(fold("a", _ELEMENT, meets, "t.tag")).alias("out"))
     rows = merged.select(*line, F.posexplode("out").alias("rank", "e"))
     return rows.select(*line, F.col("e.id").alias(order), F.col("e.proba").alias("proba"), F.col("e.bbox").alias("bbox"))

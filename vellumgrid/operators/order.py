@@ -10,6 +10,7 @@ deterministic where pairwise comparison would contradict itself.  mode
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -68,7 +69,7 @@ def _pairwise(df: DataFrame, page: list[str], prior: str, tolerance: float) -> D
     def after(a: dict, b: dict) -> bool:
         if a["r"] != b["r"]:
             return a["r"] > b["r"]
-        if a["r"] != 2 or abs(a["y"] - b["y"]) > tolerance:
+        if a["r"] != 2 or abs(np.float32(a["y"]) - np.float32(b["y"])) > np.float32(tolerance):  # steps are FLOAT, as all geometry
             return a["y"] > b["y"]
         return a["x"] > b["x"]
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import html
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,3 +72,56 @@ def clean_text(text: Column) -> Column:
     for a, b in LIGATURES:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
+
+
+#: what UTF-8 bytes read as Latin-1 or Windows-1252 look like: a lead byte's letter, then characters of continuation bytes
+_MISREAD = re.compile("[\u00c2-\u00f4][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013\u2014\u2018-\u201a\u201c-\u201e\u2020-\u2022\u2026\u2030\u2039\u203a\u20ac\u2122]{1,3}")
+_ENTITY = re.compile("&#?[0-9A-Za-z]{1,31};")
+_C1 = re.compile("[\u0080-\u0084\u0086-\u009f]")
+
+
+def _byte(c: str) -> int | None:
+    if c <= "\xff":
+        return ord(c)
+    try:
+        return c.encode("cp1252")[0]
+    except UnicodeEncodeError:
+        return None
+
+
+def _reread(m: "re.Match[str]") -> str:
+    """The character whose UTF-8 bytes a sequence shows, and what follows it; the sequence itself if its bytes are no UTF-8."""
+    raw = [_byte(c) for c in m.group()]
+    lead = raw[0] or 0
+    size = 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+    if None in raw or len(raw) < size:
+        return m.group()
+    try:
+        return bytes(raw[:size]).decode("utf-8") + m.group()[size:]
+    except UnicodeDecodeError:
+        return m.group()
+
+
+def repair_characters(text: str) -> str:
+    """What needs more than replacing single characters: entities of a text without tags, UTF-8 read as an 8-bit
+    encoding (once or again), controls that stand for Windows-1252 marks, and composed letters (NFC)."""
+    if "<" not in text:
+        text = _ENTITY.sub(lambda m: html.unescape(m.group()), text)
+    while not text.isascii():
+        better = _MISREAD.sub(_reread, text)  # every pass that changes a text makes it shorter
+        if better == text:
+            break
+        text = better
+    text = _C1.sub(lambda m: bytes([ord(m.group())]).decode("cp1252", "ignore") or m.group(), text)
+    return unicodedata.normalize("NFC", text)
+
+
+def fix_text(text: Column) -> Column:
+    """Text repair: repair_characters() on texts that hold an entity or a character beyond ASCII, then clean_text()."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None else repair_characters(t))
+
+    need = F.when((F.octet_length(text) > F.length(text)) | text.contains("&"), text)
+    return clean_text(F.coalesce(run(need), text))

@@ -43,6 +43,12 @@ def dictionary(metadata: str) -> list[str]:
     return ["#", *lines, " "]
 
 
+def trimmed(text: Column, read: Column) -> Column:
+    """The text of a region read on its own: without outer white space; a blank reading leaves the text as it is."""
+    bare = F.regexp_replace(F.regexp_replace(read, "^[\\s\\u0085\\p{Z}]+", ""), "[\\s\\u0085\\p{Z}]+$", "")
+    return F.when(bare != "", bare).otherwise(text)
+
+
 def fold_text(df: DataFrame, element: list[str], order: str = "det_ord", text: str = "text") -> DataFrame:
     """(element..., ocr_text): the strings of an element in order, each followed by a line break; null strings are skipped."""
     one = F.when(F.col(text).isNotNull(), F.concat(text, F.lit("\n")))

@@ -2,6 +2,8 @@
 
     python -m vellumgrid.plans.cli FOLDER_OR_FILE OUT --page 0..5 --mode Auto --backends my_module:make
 
+What failed is written beside OUT, as OUT.errors; the commonest errors are logged too.
+
 `my_module:make` names a function that returns vellumgrid.plans.pipeline.Backends;
 rendering and models are never part of this engine.
 """
@@ -47,7 +49,9 @@ def run(spark: SparkSession, args: argparse.Namespace, use: "pipeline.Backends |
     chars = backends.page_chars(asked, use.renderer) if args.mode != "Ocr" and hasattr(use.renderer, "chars") else None
     got = pipeline.analyze(asked, use, chars, parser)
     export.write_json(export.page_json(got.elements, got.pages, ["doc_id", "page_no"]), args.out)
-    for r in got.errors.groupBy("error").count().orderBy(F.desc("count")).limit(20).collect():
+    errors = f"{args.out.rstrip('/')}.errors"
+    got.errors.orderBy("doc_id", "page_no").write.mode("overwrite").json(errors)
+    for r in spark.read.schema(got.errors.schema).json(errors).groupBy("error").count().orderBy(F.desc("count")).limit(20).collect():
         log.warning("%d pages or documents failed: %s", r["count"], r["error"])
 
 

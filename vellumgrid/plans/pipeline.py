@@ -26,17 +26,21 @@ def texts(elements: DataFrame, chars: DataFrame, page: list[str] = PAGE, options
     """Elements with the PDF's own text, and whether recognition is needed."""
     pdf = textsource.text_in_boxes(elements, chars, page, "order_idx")
     if options.clean_text:
-        pdf = pdf.withColumn("pdf_text", textsource.clean_text(F.col("pdf_text")))
+        pdf = pdf.withColumn("pdf_text", textsource.fix_text(F.col("pdf_text")))
     return textsource.first_pass(elements.join(pdf, [*page, "order_idx"]), F.lit(options.mode))
 
 
 def recognized(elements: DataFrame, token_scores: DataFrame, characters: list[str], page: list[str] = PAGE, options: ParserOptions = ParserOptions(), rec: RecognizeOptions = RecognizeOptions()) -> DataFrame:
-    """Elements after recognition; token_scores(page..., order_idx, det_ord, t, probs)."""
+    """Elements after recognition; token_scores(page..., order_idx, det_ord, t, probs, error).
+
+    A region that failed adds nothing, but its element counts as recognised all the same.
+    """
     key = [*page, "order_idx"]
-    words = tokens.decode_steps(token_scores, [*key, "det_ord"], characters, rec.least_token_score)
+    words = tokens.decode_steps(token_scores.where("error IS NULL"), [*key, "det_ord"], characters, rec.least_token_score)
+    words = words.unionByName(token_scores.where("error IS NOT NULL").select(*key, "det_ord", F.lit(None).cast("string").alias("text")))
     ocr = tokens.fold_text(words, key)
     if options.clean_text:
-        ocr = ocr.withColumn("ocr_text", textsource.clean_text(F.col("ocr_text")))
+        ocr = ocr.withColumn("ocr_text", textsource.fix_text(F.col("ocr_text")))
     return textsource.second_pass(elements, ocr, key)
 
 
@@ -59,26 +63,39 @@ class Result:
 
 
 def analyze(requests: DataFrame, use: Backends, chars: DataFrame | None = None, parser: ParserOptions = ParserOptions(), lay: LayoutOptions = LayoutOptions(), det: DetectOptions = DetectOptions(), rec: RecognizeOptions = RecognizeOptions()) -> Result:
-    """requests(doc_id, content, password, start, end) -> Result."""
+    """requests(doc_id, content, password, start, end) -> Result.
+
+    What fails, a document, page, crop or region, is a row of errors; the rest goes on.
+    """
     from vellumgrid.runtime import stash
 
+    characters = use.characters
+    if parser.mode != "Pdf" and use.detector is not None and use.recognizer is not None and characters is None:
+        characters = backends.model_characters(use.recognizer)
+
     if parser.mode != "Pdf" and use.detector is None:
         raise BackendMissing(f"mode {parser.mode} needs an InferBackend for text detection")
     pages = stash(backends.render_pages(requests, use.renderer, lay.input_size), "pages")
-    raw = backends.infer_layout(pages, use.layout, lay)
+    raw = stash(backends.infer_layout(pages, use.layout, lay), "raw")
     errors = pages.where("error IS NOT NULL").select(*PAGE, "error").unionByName(raw.where("error IS NOT NULL").select(*PAGE, "error"))
     spark = requests.sparkSession
-    chars = spark.createDataFrame([], "doc_id string, page_no int, char_idx int, ch string, x float, y float") if chars is None else chars
+    chars = spark.createDataFrame([], backends.CHARS) if chars is None else chars
+    if "error" in chars.columns:
+        chars = stash(chars, "chars")
+        errors = errors.unionByName(chars.where("error IS NOT NULL").select(*PAGE, "error"))
+        chars = chars.where("error IS NULL")
     elements = stash(texts(layout(raw.where("error IS NULL"), PAGE, lay), chars, PAGE, parser), "elements")
     if parser.mode != "Pdf":
         wanted = elements.where("needs_ocr").join(pages.select(*PAGE, "scale", "img_w", "img_h"), PAGE)
         rect = wanted.withColumn("c", G.crop_rect(G.scale(F.col("bbox"), F.col("scale")), F.col("img_w"), F.col("img_h"))).select(*PAGE, "order_idx", "c.x", "c.y", "c.w", "c.h")
-        found = backends.detect_regions(pages, rect, use.detector, det)
-        boxes = found.select(*PAGE, "order_idx", "contour_idx", "proba", F.struct("x0", "y0", "x1", "y1").alias("bbox"))
+        found = stash(backends.detect_regions(pages, rect, use.detector, det), "regions")
+        errors = errors.unionByName(found.where("error IS NOT NULL").select(*PAGE, "error"))
+        boxes = found.where("error IS NULL").select(*PAGE, "order_idx", "contour_idx", "proba", F.struct("x0", "y0", "x1", "y1").alias("bbox"))
         merged = lines.merged_lines(boxes, [*PAGE, "order_idx"], tolerance=det.line_tolerance, gap=det.merge_gap)
         sized = merged.join(pages.select(*PAGE, "img_w", "img_h"), PAGE).withColumn("c", G.crop_rect(F.col("bbox"), F.col("img_w"), F.col("img_h")))
-        scores = backends.recognize_regions(pages, sized.select(*PAGE, "order_idx", "det_ord", "c.x", "c.y", "c.w", "c.h"), use.recognizer, rec)
-        elements = recognized(elements, scores, use.characters or tokens.dictionary(""), PAGE, parser, rec)
+        scores = stash(backends.recognize_regions(pages, sized.select(*PAGE, "order_idx", "det_ord", "c.x", "c.y", "c.w", "c.h"), use.recognizer, rec), "scores")
+        errors = errors.unionByName(scores.where("error IS NOT NULL").select(*PAGE, "error"))
+        elements = recognized(elements, scores, characters, PAGE, parser, rec)
     size = F.lit(float(lay.input_size)).cast("float")
     sizes = pages.where("error IS NULL").select(*PAGE, "pdf_w", "pdf_h", size.alias("image_w"), size.alias("image_h"), "scale")
     return Result(with_label(elements), errors, sizes)

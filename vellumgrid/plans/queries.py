@@ -232,11 +232,7 @@ def raw_predictions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(PAIRS % f"{_ratio('a', 'b')} AS overlap" + f" WHERE {_ratio('a', 'b')} > 0.45::FLOAT")
 def overlap_pairs(spark, d):
-    t = tall(spark, d)
-    ids = t.select(*PAGE, "bbox_id", "elem_id")
-    got = decode.overlap_pairs(t, PAGE, "bbox_id", 0.45)
-    got = got.join(ids.withColumnsRenamed({"bbox_id": "a", "elem_id": "ea"}), [*PAGE, "a"]).join(ids.withColumnsRenamed({"bbox_id": "b", "elem_id": "eb"}), [*PAGE, "b"])
-    return got.select(F.col("ea").alias("a"), F.col("eb").alias("b"), "overlap")
+    return decode.overlap_pairs(tall(spark, d), PAGE, "bbox_id", 0.45, "elem_id").select("a", "b", "overlap")
 
 
 def _merge_sql(rows: str, keys: str, order_by: str, meets: str, absorb: str) -> str:
@@ -309,8 +305,19 @@ def reading_order_wide(spark, d):
     return order.reading_order(elements(spark, d), PAGE, "bbox_id", tolerance=60.0).select("elem_id", "order_idx")
 
 
-@query()
+_AFTER = "CASE WHEN {a}.r <> {b}.r THEN {a}.r > {b}.r WHEN {a}.r <> 2 OR abs({a}.y - {b}.y) > 10::FLOAT THEN {a}.y > {b}.y ELSE {a}.x > {b}.x END"
+_PAIRWISE = f"""
+    g AS (SELECT pdf_id, page_no, col_id, list({{'id': elem_id, 'r': r, 'x': cx, 'y': cy}} ORDER BY bbox_id) AS a FROM k GROUP BY ALL),
+    f AS (SELECT pdf_id, page_no, col_id, a, 1 AS i, a[1:1] AS own FROM g
+          UNION ALL
+          SELECT pdf_id, page_no, col_id, a, i + 1, list_concat(list_concat(own[1:p], a[i + 1:i + 1]), own[p + 1:])
+          FROM (SELECT *, coalesce(list_max(list_filter(range(1, len(own) + 1), lambda j: NOT ({_AFTER.format(a='own[j]', b='a[i + 1]')}))), 0) AS p FROM f WHERE i < len(a))),
+    o AS (SELECT pdf_id, page_no, col_id, unnest(own) AS e, unnest(range(1, len(own) + 1)) AS place FROM f WHERE i = len(a))"""
+
+
+@query(f"WITH RECURSIVE {E}, {COLUMNS % 'e'}, {_PAIRWISE} SELECT e.id AS elem_id, (row_number() OVER (PARTITION BY pdf_id, page_no ORDER BY col_id, place) - 1)::INTEGER AS order_idx FROM o")
 def reading_order_pairwise(spark, d):
+    """The order by pairwise comparison, held against insertion sort as a recursive query."""
     return order.reading_order(elements(spark, d), PAGE, "bbox_id", mode="pairwise").select("elem_id", "order_idx")
 
 
@@ -350,6 +357,26 @@ def ctc_decode(spark, d):
     return got.where("decoded <> ''")
 
 
+_STEPS = f"""WITH {SCORES}, c AS (SELECT vec_id // 25 AS region, vec_id AS t, CASE WHEN proba > 0.15::FLOAT THEN label_id ELSE 0 END AS c FROM m),
+    k AS (SELECT *, lag(c) OVER (PARTITION BY region ORDER BY t) AS before FROM c)
+    SELECT region, coalesce(string_agg('abcdefgh '[c], '' ORDER BY t) FILTER (WHERE c <> 0 AND c < 10 AND c IS DISTINCT FROM before), '') AS decoded FROM k GROUP BY region"""
+
+
+@query(_STEPS)
+def decode_steps(spark, d):
+    """Scores of the steps of a region to its text: confident classes, repeats, blanks, and a class beyond the dictionary."""
+    steps = load(spark, d, "embeddings").select(F.expr("vec_id div 25").alias("region"), F.col("vec_id").alias("t"), F.slice("embedding", 1, 11).alias("probs"))
+    return tokens.decode_steps(steps, ["region"], tokens.dictionary("\n".join("abcdefgh")), 0.15).select("region", F.col("text").alias("decoded"))
+
+
+@query(f"WITH {E} SELECT elem_id, CASE WHEN trim(read) <> '' THEN trim(read) ELSE text END AS text FROM (SELECT elem_id, text, CASE bbox_id % 3 WHEN 0 THEN '  ' WHEN 1 THEN '  line ' || bbox_id || ' ' END AS read FROM e)")
+def trimmed_text(spark, d):
+    """Regions read on their own: trimmed readings replace the text, blank and missing ones do not."""
+    i = F.col("bbox_id")
+    read = F.when(i % 3 == 0, "  ").when(i % 3 == 1, F.concat(F.lit("  line "), i.cast("string"), F.lit(" ")))
+    return elements(spark, d).select("elem_id", tokens.trimmed(F.col("text"), read).alias("text"))
+
+
 @query(f"WITH {SCORES} SELECT vec_id, CASE WHEN proba > 0.25::FLOAT THEN label_id ELSE 0 END AS token FROM m")
 def token_confidence(spark, d):
     return load(spark, d, "embeddings").select("vec_id", tokens.token_class(F.slice("embedding", 1, 11), 0.25).alias("token"))
@@ -418,9 +445,11 @@ def page_slice(spark, d):
     return requests.page_slice(ranged(spark, d), pages(spark, d).select(*PAGE), ["pdf_id"]).select("request_id", *PAGE)
 
 
-@query(f"WITH {RANGES}, {SIZES}, n AS (SELECT pdf_id, count(*) AS page_count FROM p GROUP BY pdf_id) SELECT request_id, 'start ' || start || ' beyond ' || coalesce(page_count, 0) || ' pages' AS error FROM g LEFT JOIN n USING (pdf_id) WHERE coalesce(page_count, 0) < start")
+@query(f"""WITH {RANGES}, n AS (SELECT pdf_id, count(DISTINCT metadata.page) AS page_count FROM pdf_layouts GROUP BY pdf_id)
+    SELECT request_id, 'start ' || start || ' beyond ' || coalesce(page_count, 0) || ' pages' AS error FROM g LEFT JOIN n USING (pdf_id) WHERE coalesce(page_count, 0) < start""")
 def range_errors(spark, d):
-    counts = pages(spark, d).groupBy("pdf_id").agg(F.count("*").alias("page_count"))
+    """Requests that begin beyond what is there of their document, here its exported pages."""
+    counts = load(spark, d, "pdf_layouts").groupBy("pdf_id").agg(F.countDistinct("metadata.page").alias("page_count"))
     return requests.range_errors(ranged(spark, d), counts, ["pdf_id"]).select("request_id", "error")
 
 
@@ -430,17 +459,24 @@ def request_modes(spark, d):
     return m.select("request_id", "mode", textsource.need_ocr(F.col("mode")).alias("need_ocr"), textsource.need_pdf(F.col("mode")).alias("need_pdf"))
 
 
-@query(f"WITH {E} SELECT pdf_id, page_no, count(*) AS n FROM e GROUP BY pdf_id, page_no")
+@query(f"WITH {E} SELECT pdf_id, page_no, count(*) AS n, string_agg(bbox_id, ',' ORDER BY bbox_id) AS places, max(x1) AS furthest FROM e GROUP BY pdf_id, page_no")
 def detections_by_page(spark, d):
     e = elements(spark, d).withColumnsRenamed({"bbox_id": "order_idx"}).withColumn("det_ord", F.lit(0))
-    return draw.detections_by_page(e, PAGE).select(*PAGE, F.size("regions").cast("long").alias("n"))
+    got = draw.detections_by_page(e, PAGE)
+    return got.select(*PAGE, F.size("regions").cast("long").alias("n"), F.array_join(F.col("regions.order_idx").cast("array<string>"), ",").alias("places"), F.array_max("regions.bbox.x1").alias("furthest"))
+
 
+# Fixed values of the check: red, green and blue by label_idx.
+_COLOURS = "(0, 255, 0, 0), (1, 0, 255, 0), (2, 0, 0, 255), (3, 255, 255, 0), (4, 255, 0, 255), (5, 0, 255, 255), (6, 128, 0, 128), (7, 255, 165, 0), (8, 128, 128, 128), (9, 0, 128, 0), (10, 255, 20, 147)"
 
-@query(f"""WITH {E}, {SIZES}, s AS (SELECT pdf_id, page_no, bbox_id AS order_idx, label_id, trunc(x0 * scale)::INTEGER AS x, trunc(y0 * scale)::INTEGER AS y, greatest(trunc(x1 * scale - x0 * scale), 0)::INTEGER AS w, greatest(trunc(y1 * scale - y0 * scale), 0)::INTEGER AS h FROM e JOIN p USING (pdf_id, page_no))
-    SELECT pdf_id, page_no, order_idx, "offset", x - "offset" AS x, y - "offset" AS y, w + 2 * "offset" AS w, h + 2 * "offset" AS h, greatest(x, 5) AS text_x, y AS text_y FROM s, (VALUES (0), (1), (2)) v("offset") WHERE w > 0 AND h > 0""")
+
+@query(f"""WITH {E}, {SIZES}, c(label_id, r, g, b) AS (VALUES {_COLOURS}), s AS (SELECT pdf_id, page_no, bbox_id AS order_idx, label_id, proba, trunc(x0 * scale)::INTEGER AS x, trunc(y0 * scale)::INTEGER AS y, greatest(trunc(x1 * scale - x0 * scale), 0)::INTEGER AS w, greatest(trunc(y1 * scale - y0 * scale), 0)::INTEGER AS h FROM e JOIN p USING (pdf_id, page_no))
+    SELECT pdf_id, page_no, order_idx, "offset", x - "offset" AS x, y - "offset" AS y, w + 2 * "offset" AS w, h + 2 * "offset" AS h, greatest(x, 5) AS text_x, y AS text_y, r, g, b, CASE WHEN y >= 0 THEN display_name || ' ' || order_idx END AS caption FROM s JOIN c USING (label_id) JOIN labels_dim ON label_idx = label_id, (VALUES (0), (1), (2)) v("offset") WHERE w > 0 AND h > 0""")
 def draw_commands(spark, d):
+    """Rectangles with their colours and captions; the score in a caption, rounded by the JVM, is left to the tests."""
     e = with_label(elements(spark, d).join(pages(spark, d), PAGE).withColumnsRenamed({"bbox_id": "order_idx"}))
-    return draw.layout_commands(e, PAGE).select(*PAGE, "order_idx", "offset", "x", "y", "w", "h", "text_x", "text_y")
+    caption = F.regexp_replace("caption", " [0-9]\\.[0-9]{2} ", " ").alias("caption")
+    return draw.layout_commands(e, PAGE).select(*PAGE, "order_idx", "offset", "x", "y", "w", "h", "text_x", "text_y", "r", "g", "b", caption)
 
 
 @query()
@@ -450,6 +486,21 @@ def json_elements(spark, d):
     return export.page_json(e, p, PAGE)
 
 
+@query(f"""WITH {E}, {SIZES}, n AS (SELECT *, (row_number() OVER (PARTITION BY pdf_id, page_no ORDER BY bbox_id) - 1)::INTEGER AS place FROM e)
+    SELECT pdf_id, page_no, pw, ph, iw, ih, scale, page_no AS meta_page, place, json_name AS label, page_no AS own_page, bbox_id, x0, y0, x1, y1, proba, is_ocr, text FROM p LEFT JOIN n USING (pdf_id, page_no)""")
+def json_rows(spark, d):
+    """What a reader of the exported JSON gets: every member of every page and element, in place."""
+    box = "STRUCT<min: ARRAY<FLOAT>, max: ARRAY<FLOAT>>"
+    shape = f"STRUCT<layouts: ARRAY<STRUCT<bbox: {box}, label: STRING, page_no: INT, bbox_id: INT, proba: FLOAT, ocr: STRUCT<is_ocr: BOOLEAN>, text: STRING>>, metadata: STRUCT<pdf_size: ARRAY<FLOAT>, image_size: ARRAY<FLOAT>, scale: FLOAT, page: INT>>"
+    got = json_elements(spark, d).select(*PAGE, F.from_json("json", shape).alias("j"))
+    m, e = F.col("j.metadata"), F.col("e")
+    flat = got.select(*PAGE, m["pdf_size"][0].alias("pw"), m["pdf_size"][1].alias("ph"), m["image_size"][0].alias("iw"), m["image_size"][1].alias("ih"), m["scale"].alias("scale"), m["page"].alias("meta_page"), F.posexplode_outer("j.layouts").alias("place", "e"))
+    return flat.select(
+        *PAGE, "pw", "ph", "iw", "ih", "scale", "meta_page", "place", e["label"].alias("label"), e["page_no"].alias("own_page"), e["bbox_id"].alias("bbox_id"),
+        e["bbox"]["min"][0].alias("x0"), e["bbox"]["min"][1].alias("y0"), e["bbox"]["max"][0].alias("x1"), e["bbox"]["max"][1].alias("y1"), e["proba"].alias("proba"), e["ocr"]["is_ocr"].alias("is_ocr"), e["text"].alias("text"),
+    )
+
+
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _PLAIN = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
 
@@ -470,9 +521,9 @@ def clean_text(spark, d):
 
 
 @query()
-def layout_pipeline(spark, d):
-    """Raw predictions through decoding, merging and ordering."""
-    return pipeline.layout(raw_predictions(spark, d), ["page"]).select("page", "order_idx", "bbox_id", "label_id", "proba", "bbox.*")
+def fix_text(spark, d):
+    """Every text as the pipeline would repair it."""
+    return elements(spark, d).where("text IS NOT NULL").select("elem_id", textsource.fix_text(F.col("text")).alias("fixed"))
 
 
 _ORDERED_MERGE = f"""v AS (SELECT pdf_id, page_no, row_number() OVER (PARTITION BY pdf_id, page_no ORDER BY k0) - 1 AS bbox_id, r.id AS id, r.tag AS label_id, r.proba AS proba, r.x0 AS x0, r.y0 AS y0, r.x1 AS x1, r.y1 AS y1
@@ -486,6 +537,18 @@ def page_layout(spark, d):
     return order.reading_order(merged, PAGE).select(*PAGE, "order_idx", "bbox_id", "label_id", "proba", "bbox.*")
 
 
+_RAW = f"""t AS (WITH {SCORES}, k AS (SELECT m.*, vec_id // 25 AS page, embedding AS v FROM m JOIN embeddings USING (vec_id) WHERE NOT (proba < 0.1::FLOAT)),
+    b AS (SELECT vec_id, page, label_id, proba, 512::FLOAT + v[12] * 512::FLOAT AS cx, 512::FLOAT + v[13] * 512::FLOAT AS cy, v[14] * 512::FLOAT AS w, v[15] * 512::FLOAT AS h FROM k)
+    SELECT page AS pdf_id, 0 AS page_no, (row_number() OVER (PARTITION BY page ORDER BY vec_id) - 1)::INTEGER AS bbox_id, label_id, proba,
+    greatest(cx - w * 0.5::FLOAT, 0::FLOAT) * 0.8::FLOAT AS x0, greatest(cy - h * 0.5::FLOAT, 0::FLOAT) * 0.8::FLOAT AS y0, least(cx + w * 0.5::FLOAT, 1024::FLOAT) * 0.8::FLOAT AS x1, least(cy + h * 0.5::FLOAT, 1024::FLOAT) * 0.8::FLOAT AS y1 FROM b)"""
+
+
+@query(f"WITH RECURSIVE {_RAW}, {NMS}, {_ORDERED_MERGE}, {COLUMNS % 'v'}, {ORDERED % 10} SELECT pdf_id AS page, order_idx, id AS bbox_id, label_id, proba, x0, y0, x1, y1 FROM q")
+def layout_pipeline(spark, d):
+    """Raw predictions through decoding, merging and ordering."""
+    return pipeline.layout(raw_predictions(spark, d), ["page"]).select("page", "order_idx", "bbox_id", "label_id", "proba", "bbox.*")
+
+
 @query("SELECT DISTINCT elem_id, label, ocr.is_ocr AS is_ocr FROM elements")
 def stream_once(spark, d):
     """The elements as a stream, each delivered once, drained into the shared folder.
@@ -504,10 +567,15 @@ def stream_once(spark, d):
 
 @query("SELECT (epoch(seen_at)::BIGINT // 86400) * 86400 AS window_start, label, count(*) AS n, count(*) FILTER (WHERE ocr.is_ocr) AS n_ocr FROM elements GROUP BY ALL")
 def stream_windows(spark, d):
-    """Deliveries by day and label, from the stream's windowed count over all that has arrived."""
+    """Deliveries by day and label, counted as a stream; each trigger writes the whole table of windows anew."""
+    from vellumgrid.runtime import workspace
     from vellumgrid.streaming import inbox
 
-    return inbox.by_window(load(spark, d, "elements"), width="1 day").withColumn("window_start", F.unix_timestamp("window_start"))
+    at = f"{workspace(spark)}/stream-{uuid.uuid4().hex}"
+    counts = inbox.by_window(inbox.element_stream(spark, f"{d}/elements.parque[t]", load(spark, d, "elements").schema), width="1 day")
+    run = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
+    run.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{at}/rows")).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{at}/rows").withColumn("window_start", F.unix_timestamp("window_start"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

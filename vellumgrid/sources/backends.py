@@ -38,23 +38,36 @@ class OnnxBackend:
 
     _sessions: dict = {}
 
-    def __init__(self, path: str, threads: int = 1) -> None:
-        self.path, self.threads = path, threads
+    def __init__(self, path: str, threads: int = 1, providers: "tuple[str, ...]" = ("CPUExecutionProvider",), optimize: bool = True) -> None:
+        """threads: within one operation; a task has one core, so more only helps where tasks have more."""
+        self.path, self.threads, self.providers, self.optimize = path, threads, providers, optimize
 
-    def run(self, x: np.ndarray) -> np.ndarray:
+    def session(self):
         if self.path not in self._sessions:
             import onnxruntime as ort
 
             o = ort.SessionOptions()
             o.intra_op_num_threads = self.threads
-            self._sessions[self.path] = ort.InferenceSession(self.path, o)
-        s = self._sessions[self.path]
+            o.graph_optimization_level = ort.GraphOptimizationLevel.ORT_ENABLE_ALL if self.optimize else ort.GraphOptimizationLevel.ORT_ENABLE_BASIC
+            self._sessions[self.path] = ort.InferenceSession(self.path, o, providers=list(self.providers))
+        return self._sessions[self.path]
+
+    def run(self, x: np.ndarray) -> np.ndarray:
+        s = self.session()
         return s.run(None, {s.get_inputs()[0].name: x})[0]
 
     def metadata(self, key: str) -> str | None:
-        self.run  # noqa: B018  (the session is built by the first run)
-        s = self._sessions.get(self.path)
-        return s.get_modelmeta().custom_metadata_map.get(key) if s else None
+        return self.session().get_modelmeta().custom_metadata_map.get(key)
+
+
+def model_characters(model: InferBackend) -> list[str]:
+    """The character list of a recogniser, read once, on the driver, from the metadata it brings along."""
+    from vellumgrid.operators.tokens import dictionary
+
+    text = model.metadata("character") if hasattr(model, "metadata") else None
+    if not text:
+        raise BackendMissing("the recogniser brings no character list: give Backends.characters")
+    return dictionary(text)
 
 
 def _cubic(x: np.ndarray) -> np.ndarray:
@@ -115,25 +128,47 @@ def scan_documents(spark, path: str, pattern: str = "*.pdf") -> DataFrame:
 PAGES = "doc_id string, page_no int, pdf_w float, pdf_h float, scale float, img_w int, img_h int, image binary, error string"
 
 
-def render_pages(requests: DataFrame, renderer: RenderBackend | None, size: int = 1024) -> DataFrame:
+#: pages of a document that one task renders
+PAGES_A_TASK = 256
+
+
+def render_pages(requests: DataFrame, renderer: RenderBackend | None, size: int = 1024, block: int = PAGES_A_TASK) -> DataFrame:
     """requests(doc_id, content, password, start, end) -> PAGES; a page that fails carries its error instead of an image,
-    a document that fails or has fewer pages than where the range starts is one such row."""
+    a document that fails or has fewer pages than where the range starts is one such row.
+
+    The first block of pages of a document is rendered where its file was read.
+    Only files of more pages travel, one copy a further block, so that no task
+    renders a whole large file.
+    """
     if renderer is None:
         raise BackendMissing("rendering needs a RenderBackend")
 
+    def pages(r) -> tuple[int, int]:
+        count = renderer.page_count(r.content, r.password)
+        if count < r.start:  # as many is no error
+            raise ValueError(f"start {r.start} beyond {count} pages")
+        return r.start, min(r.end, count)
+
+    def further(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                try:
+                    first, last = pages(r)
+                except Exception:  # noqa: BLE001, S112  (reported with the first block)
+                    continue
+                for n in range(first + block, last, block):
+                    yield pd.DataFrame([(r.doc_id, r.content, r.password, n, min(last, n + block))], columns=["doc_id", "content", "password", "start", "end"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in PAGES.split(", ")]
         for b in batches:
             for r in b.itertuples(index=False):
                 try:
-                    count = renderer.page_count(r.content, r.password)
-                    if count < r.start:  # as many is no error
-                        raise ValueError(f"start {r.start} beyond {count} pages")
-                    last = min(r.end, count)
+                    first, last = pages(r)
                 except Exception as e:  # noqa: BLE001  (any fault of the file fails the document, not the job)
                     yield pd.DataFrame([(r.doc_id, None, None, None, None, None, None, None, str(e))], columns=names)
                     continue
-                for n in range(r.start, last):
+                for n in range(first, min(last, first + block)):
                     try:
                         image, w, h, s = renderer.render(r.content, r.password, n, size)
                         row = (r.doc_id, n, w, h, s, image.shape[1], image.shape[0], np.ascontiguousarray(image, dtype=np.uint8).tobytes(), None)
@@ -141,25 +176,40 @@ def render_pages(requests: DataFrame, renderer: RenderBackend | None, size: int
                         row = (r.doc_id, n, None, None, None, None, None, None, str(e))
                     yield pd.DataFrame([row], columns=names)
 
-    return requests.select("doc_id", "content", "password", "start", "end").mapInPandas(run, PAGES)
+    asked = requests.select("doc_id", "content", "password", "start", "end")
+    rest = asked.mapInPandas(further, "doc_id string, content binary, password string, start int, end int").repartition("doc_id", "start")
+    return asked.mapInPandas(run, PAGES).unionByName(rest.mapInPandas(run, PAGES))
 
 
-CHARS = "doc_id string, page_no int, char_idx int, ch string, x float, y float"
+CHARS = "doc_id string, page_no int, char_idx int, ch string, x float, y float, error string"
 
 
 def page_chars(requests: DataFrame, reader: "RenderBackend | None") -> DataFrame:
     """requests(doc_id, content, password, start, end) -> CHARS, by the backend's optional method
-    chars(content, password, page_no) -> [(character, x, y)], in points from the top left."""
+    chars(content, password, page_no) -> [(character, x, y)], in points from the top left.
+    A document or page that fails is a row of its error, without a character."""
     if reader is None or not hasattr(reader, "chars"):
         raise BackendMissing("embedded text needs a backend with chars()")
 
+    def failed(doc: str, page: int | None, e: Exception) -> pd.DataFrame:
+        return pd.DataFrame([(doc, page, None, None, None, None, str(e))], columns=[c.split()[0] for c in CHARS.split(", ")])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples(index=False):
-                for n in range(r.start, min(r.end, reader.page_count(r.content, r.password))):
-                    got = reader.chars(r.content, r.password, n)
+                try:
+                    last = min(r.end, reader.page_count(r.content, r.password))
+                except Exception as e:  # noqa: BLE001
+                    yield failed(r.doc_id, None, e)
+                    continue
+                for n in range(r.start, last):
+                    try:
+                        got = reader.chars(r.content, r.password, n)
+                    except Exception as e:  # noqa: BLE001
+                        yield failed(r.doc_id, n, e)
+                        continue
                     if got:
-                        yield pd.DataFrame({"doc_id": r.doc_id, "page_no": n, "char_idx": range(len(got)), "ch": [g[0] for g in got], "x": [g[1] for g in got], "y": [g[2] for g in got]})
+                        yield pd.DataFrame({"doc_id": r.doc_id, "page_no": n, "char_idx": range(len(got)), "ch": [g[0] for g in got], "x": [g[1] for g in got], "y": [g[2] for g in got], "error": None})
 
     return requests.select("doc_id", "content", "password", "start", "end").mapInPandas(run, CHARS)
 
@@ -200,13 +250,14 @@ def infer_layout(pages: DataFrame, model: InferBackend | None, options: LayoutOp
 def detect_regions(pages: DataFrame, crops: DataFrame, model: InferBackend | None, options: DetectOptions = DetectOptions()) -> DataFrame:
     """crops(doc_id, page_no, order_idx, x, y, w, h) on PAGES -> text regions in page pixels.
 
-    Pages and their crops meet by cogroup, so each image travels once.
+    Pages and their crops meet by cogroup, so each image travels once.  A crop
+    that fails is a row of its error; the others of the page go on.
     """
     from vellumgrid.operators.regions import postprocess
 
     if model is None:
         raise BackendMissing("text detection needs an InferBackend")
-    schema = "doc_id string, page_no int, order_idx int, contour_idx int, x0 float, y0 float, x1 float, y1 float, proba float"
+    schema = "doc_id string, page_no int, order_idx int, contour_idx int, x0 float, y0 float, x1 float, y1 float, proba float, error string"
 
     def run(page: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -216,9 +267,13 @@ def detect_regions(pages: DataFrame, crops: DataFrame, model: InferBackend | Non
                 part = image[c.y : c.y + c.h, c.x : c.x + c.w]
                 if not part.size:
                     continue
-                x, fitted = detector_input(part, options)
-                got = postprocess(np.asarray(model.run(x), dtype=np.float32).reshape(options.input_size, options.input_size), (part.shape[1], part.shape[0]), fitted, options)
-                rows += [(c.doc_id, c.page_no, c.order_idx, k, b[0] + c.x, b[1] + c.y, b[2] + c.x, b[3] + c.y, s) for k, (b, s) in enumerate(got)]
+                try:
+                    x, fitted = detector_input(part, options)
+                    got = postprocess(np.asarray(model.run(x), dtype=np.float32).reshape(options.input_size, options.input_size), (part.shape[1], part.shape[0]), fitted, options)
+                except Exception as e:  # noqa: BLE001
+                    rows.append((c.doc_id, c.page_no, c.order_idx, *[None] * 6, str(e)))
+                    continue
+                rows += [(c.doc_id, c.page_no, c.order_idx, k, b[0] + c.x, b[1] + c.y, b[2] + c.x, b[3] + c.y, s, None) for k, (b, s) in enumerate(got)]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     left = pages.where("error IS NULL").select("doc_id", "page_no", "img_w", "img_h", "image").groupBy("doc_id", "page_no")
@@ -226,10 +281,10 @@ def detect_regions(pages: DataFrame, crops: DataFrame, model: InferBackend | Non
 
 
 def recognize_regions(pages: DataFrame, regions: DataFrame, model: InferBackend | None, options: RecognizeOptions = RecognizeOptions()) -> DataFrame:
-    """regions(doc_id, page_no, order_idx, det_ord, x, y, w, h) on PAGES -> token scores (…, t, probs)."""
+    """regions(doc_id, page_no, order_idx, det_ord, x, y, w, h) on PAGES -> token scores (…, t, probs, error); a region that fails is a row of its error."""
     if model is None:
         raise BackendMissing("text recognition needs an InferBackend")
-    schema = "doc_id string, page_no int, order_idx int, det_ord int, t int, probs array<float>"
+    schema = "doc_id string, page_no int, order_idx int, det_ord int, t int, probs array<float>, error string"
 
     def run(page: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -237,9 +292,13 @@ def recognize_regions(pages: DataFrame, regions: DataFrame, model: InferBackend
             image = np.frombuffer(p.image, dtype=np.uint8).reshape(int(p.img_h), int(p.img_w), 3)
             for c in own.itertuples(index=False):
                 part = image[c.y : c.y + c.h, c.x : c.x + c.w]
-                if part.size:
+                if not part.size:
+                    continue
+                try:
                     out = np.asarray(model.run(recognizer_input(part, options)), dtype=np.float32)
-                    rows += [(c.doc_id, c.page_no, c.order_idx, c.det_ord, t, step) for t, step in enumerate(out.reshape(out.shape[-2], out.shape[-1]))]
+                    rows += [(c.doc_id, c.page_no, c.order_idx, c.det_ord, t, step, None) for t, step in enumerate(out.reshape(out.shape[-2], out.shape[-1]))]
+                except Exception as e:  # noqa: BLE001
+                    rows.append((c.doc_id, c.page_no, c.order_idx, c.det_ord, None, None, str(e)))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     left = pages.where("error IS NULL").select("doc_id", "page_no", "img_w", "img_h", "image").groupBy("doc_id", "page_no")

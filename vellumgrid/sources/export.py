@@ -27,5 +27,7 @@ def page_json(elements: DataFrame, pages: DataFrame, page: list[str]) -> DataFra
 
 
 def write_json(rows: DataFrame, path: str) -> None:
-    """One JSON document a line."""
-    rows.select(F.col("json").alias("value")).write.mode("overwrite").text(path)
+    """One JSON document a line, in the order of the other columns: documents and their pages, over all files."""
+    keys = [c for c in rows.columns if c != "json"]
+    ordered = rows.orderBy(*keys) if keys else rows
+    ordered.select(F.col("json").alias("value")).write.mode("overwrite").text(path)
