@@ -99,8 +99,10 @@ def test_hot_spellings_meet_in_buckets(spark, monkeypatch):
     rows = [(i, "aaaaa") for i in range(200)] + [(1000 + i, t) for i, t in enumerate(odd)] + [(1000, odd[0]), (5, "ааааа"), (2000, "other")]
     df = spark.createDataFrame(rows, "k long, t string").repartition(4)
     want = brute_pairs(rows)
-    for size in (3, 7, 2000):
+    for size, most, hot in ((3, 32 << 20, 10**6), (7, 0, 20), (2000, 0, 10**6)):
         monkeypatch.setattr(L, "HOT_ROWS", size)
+        monkeypatch.setattr(L, "BROADCAST_BYTES", most)
+        monkeypatch.setattr(L, "HOT_CLASS", hot)
         got = [(r["a"], r["b"]) for r in L.look_alike_pairs_of(df, "k", "t").collect()]
         assert len(got) == len(set(got)) and set(got) == want
     members = {r["id"]: (r["class_id"], r["spellings"]) for r in L.look_alike_classes(df, "k", "t").collect()}

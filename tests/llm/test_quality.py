@@ -36,6 +36,18 @@ def test_rules_hold_out(spark, d, common, rules):
     assert (found & ~prose).sum() / (~prose).sum() < 0.03
 
 
+def test_rules_hold_out_of_languages(spark, d, common):
+    """Rules learnt from six languages judge documents of the three others, whose sentences and words they have not seen."""
+    pdf = pd.DataFrame(duckdb.sql(f"SELECT lang, text FROM '{d}/lang_samples.parquet'").fetchall(), columns=["lang", "text"])
+    held = pdf["lang"].isin(["es", "nl", "ru"])
+    stats = Q.with_statistics(spark.createDataFrame(Q.labelled_documents(pdf[~held], 600)).repartition(8), "text", common).select("kind", *Q.STATS).toPandas().dropna()
+    rules = Q.induce(stats[list(Q.STATS)], stats["kind"].to_numpy())
+    got = Q.with_kind(spark.createDataFrame(Q.labelled_documents(pdf[held], 200, seed=99)), "text", common, rules).select("kind", "text_kind").toPandas()
+    prose, found = got["kind"] == "prose", got["text_kind"] == "prose"
+    print("held-out languages: right", round((prose == found).mean(), 4), "others taken for prose", round((found & ~prose).sum() / (~prose).sum(), 4), "kinds right", round((got["kind"] == got["text_kind"]).mean(), 4))
+    assert (prose == found).mean() > 0.97
+
+
 def test_case_equals_the_rule_list(spark, common, rules):
     docs = pd.DataFrame({"text": ["It is said that the mill stands here. The gate was old.", "a, b, c, d, e, f", "12 13 14\n15 16 17", "____\n====", "zxq vbn ghj wrt pls kjh"]})
     got = Q.with_kind(spark.createDataFrame(docs), "text", common, rules).toPandas()

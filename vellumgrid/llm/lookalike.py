@@ -264,6 +264,8 @@ def with_canonical(df: DataFrame, text: str = "text", out: str = "canonical_text
 
 #: rows of one spelling, or spellings of one class, that one side of a join task holds
 HOT_ROWS = 2_000
+#: classes of several spellings of at most so many bytes are broadcast; of more only those of HOT_CLASS rows and above
+BROADCAST_BYTES, HOT_CLASS = 32 << 20, 1_000_000
 
 
 def hashed_classes(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -272,13 +274,28 @@ def hashed_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     return stash(keyed.select("k", F.unhex(F.md5("t")).alias("raw"), F.unhex(F.md5("c")).alias("cls")), "lookalike")
 
 
-def spellings(hashed: DataFrame) -> DataFrame:
-    """(cls, raw, n, m): the spellings of every class that has several; n rows of the spelling, m spellings of the class.
+def of_several_spellings(hashed: DataFrame) -> DataFrame:
+    """The rows of hashed whose class has two spellings at least, each once.
 
-    Counted map-side: a text of a third of all rows is one row of each task's output.
+    The classes are found by a map-side combined test.  They are broadcast if
+    they are small.  Else the rows of the hottest, which are as few as their
+    size says, are taken by a broadcast, and only the others are shuffled by class.
     """
-    spelt = hashed.groupBy("cls", "raw").agg(F.count("*").alias("n"))
-    return spelt.join(spelt.groupBy("cls").agg(F.count("*").alias("m")).where("m > 1"), "cls")
+    mixed = hashed.groupBy("cls").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("cls", "n")
+    mixed = stash(mixed, "classes")
+    if mixed.count() * 64 <= BROADCAST_BYTES:
+        kept = hashed.join(F.broadcast(mixed.select("cls")), "cls", "left_semi")
+    else:
+        hot = F.broadcast(mixed.where(F.col("n") >= HOT_CLASS).select("cls"))
+        cold = hashed.join(hot, "cls", "left_anti").join(mixed.where(F.col("n") < HOT_CLASS), "cls", "left_semi")
+        kept = hashed.join(hot, "cls", "left_semi").unionByName(cold)
+    return stash(kept.distinct(), "members")
+
+
+def spellings(members: DataFrame) -> DataFrame:
+    """(cls, raw, n, m): the spellings of the members; n rows of the spelling, m spellings of the class."""
+    spelt = members.groupBy("cls", "raw").agg(F.count("*").alias("n"))
+    return spelt.join(spelt.groupBy("cls").agg(F.count("*").alias("m")), "cls")
 
 
 def look_alike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -286,10 +303,9 @@ def look_alike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
 
     This is the form to use at scale: one row a member, where pairs grow with the square of a class.
     """
-    hashed = hashed_classes(df, key, text)
-    of = hashed.groupBy("cls").agg(F.min("k").alias("class_id"))
-    size = spellings(hashed).select("cls", F.col("m").alias("spellings")).distinct()
-    return hashed.select("k", "cls").distinct().join(of.join(size, "cls"), "cls").select(F.col("k").alias("id"), "class_id", "spellings")
+    members = of_several_spellings(hashed_classes(df, key, text))
+    by = members.groupBy("cls", "raw").agg(F.min("k").alias("k")).groupBy("cls").agg(F.min("k").alias("class_id"), F.count("*").alias("spellings"))
+    return members.select("k", "cls").distinct().join(by, "cls").select(F.col("k").alias("id"), "class_id", "spellings")
 
 
 def look_alike_pairs_of(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -312,14 +328,14 @@ def _each(n: Column) -> Column:
 
 
 def _pairs(hashed: DataFrame) -> DataFrame:
-    hashed = hashed.distinct()
-    spelt = stash(spellings(hashed).withColumns({"rows": _buckets("n"), "kinds": _buckets("m")}).drop("n", "m"), "spellings")
+    members = of_several_spellings(hashed)
+    spelt = stash(spellings(members).withColumns({"rows": _buckets("n"), "kinds": _buckets("m")}).drop("n", "m"), "spellings")
     own = F.pmod(F.xxhash64("raw"), F.col("kinds")).cast("int")
     left = spelt.withColumn("x", own).withColumn("y", _each(F.col("kinds"))).select("cls", "x", "y", "raw", "rows")
     right = spelt.withColumn("y", own).withColumn("x", _each(F.col("kinds"))).select("cls", "x", "y", F.col("raw").alias("raw2"), F.col("rows").alias("rows2"))
     met = left.join(right, ["cls", "x", "y"]).where("raw < raw2").select("raw", "raw2", "rows", "rows2")
     cells = met.withColumn("x", _each(F.col("rows"))).withColumn("y", _each(F.col("rows2"))).select("raw", "raw2", "x", "y")
-    dealt = stash(hashed.join(spelt.select("raw", "rows"), "raw").select("k", "raw", F.pmod(F.xxhash64("k"), F.col("rows")).cast("int").alias("bucket")), "members")
+    dealt = stash(members.join(spelt.select("raw", "rows"), "raw").select("k", "raw", F.pmod(F.xxhash64("k"), F.col("rows")).cast("int").alias("bucket")), "dealt")
     a = dealt.select(F.col("k").alias("ka"), "raw", F.col("bucket").alias("x")).join(cells, ["raw", "x"])
     b = dealt.select(F.col("k").alias("kb"), F.col("raw").alias("raw2"), F.col("bucket").alias("y")).join(cells, ["raw2", "y"])
     both = a.join(b, ["raw", "raw2", "x", "y"]).where("ka <> kb")

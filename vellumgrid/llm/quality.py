@@ -303,7 +303,7 @@ def labelled_documents(samples: pd.DataFrame, per_kind: int = 900, seed: int = 1
                 body.insert(0, gap.join(name() for _ in range(width + 1)))
             t = "\n".join(body)
         else:
-            units = rng.sample(("kg", "mm", "t", "No.", "ø", "Σ", "km", "%", "€", "°C", "ha", "m²"), rng.randint(2, 6))
+            units = rng.sample(("kg", "g", "mm", "cm", "km", "t", "l", "ha", "m²", "%", "€", "$", "°C", "h", "No.", "max.", *(chr(rng.randint(0x391, 0x3A9)) for _ in range(3)), *(chr(rng.randint(0xC0, 0xFF)) for _ in range(3))), rng.randint(2, 6))
             t = " ".join(f"{rng.choice(units)} {rng.uniform(1, 900):.2f}" for _ in range(rng.randint(6, 40)))
         rows.append((t, "table"))
         # junk
@@ -320,7 +320,7 @@ def labelled_documents(samples: pd.DataFrame, per_kind: int = 900, seed: int = 1
         elif kind == 4:
             t = pick("0123456789!#$%&*+-/:;<=>?@[]^_{|}~\\", 60, 250)
         elif kind == 5:
-            t = " ".join([rng.choice(("nil", "ii", "...", "□", "x", "--", "??", "n/a", rng.choice(ws)))] * rng.randint(12, 60))
+            t = " ".join([rng.choice((pick("abcdefghijklmnopqrstuvwxyz", 1, 4), chr(rng.randint(0x25A0, 0x25FF)), pick(".-?*_~#", 1, 1) * rng.randint(1, 4), rng.choice(ws)))] * rng.randint(12, 60))
         elif kind == 6:
             t = "\n".join(rng.choice("_-=*.~#") * rng.randint(20, 70) for _ in range(rng.randint(1, 6)))
         else:
