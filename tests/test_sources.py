@@ -290,3 +290,18 @@ def test_pages_leave_in_order_and_errors_beside_them(spark, tmp_path):
     (tmp_path / "in" / "b.pdf").write_bytes(b"bad")
     cli.run(spark, cli.arguments([str(tmp_path / "in"), str(tmp_path / "out"), "--mode", "Pdf"]), pipeline.Backends(*fakes()))
     assert sorted(json.loads(r["value"])["error"] for r in spark.read.text(str(tmp_path / "out.errors")).collect()) == ["no document", "no page"]
+
+
+def test_debug_images(spark, tmp_path):
+    from vellumgrid.plans import cli
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(b"ok")
+    cli.run(spark, cli.arguments([str(tmp_path / "in"), str(tmp_path / "out"), "--mode", "Pdf", "--debug"]), pipeline.Backends(*fakes()))
+    rows = spark.read.parquet(str(tmp_path / "out.debug")).collect()
+    assert [r["page_no"] for r in rows] == [0] and bytes(rows[0]["png"]).startswith(b"\x89PNG")
+    blank = draw.png(np.full((64, 64, 3), 255, dtype=np.uint8))
+    assert bytes(rows[0]["png"]) != blank
+    pages = spark.createDataFrame([("d", 0, 2, 2, bytearray(12))], "doc_id string, page_no int, img_w int, img_h int, image binary")
+    none = spark.createDataFrame([], "doc_id string, page_no int, x int, y int, w int, h int, r int, g int, b int")
+    assert bytes(draw.page_images(pages, none, ["doc_id", "page_no"]).first()["png"]) == draw.png(np.zeros((2, 2, 3), dtype=np.uint8))

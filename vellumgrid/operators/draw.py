@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,29 @@ def detections_by_page(regions: DataFrame, page: list[str]) -> DataFrame:
     return got.where("n > 0")
 
 
+IMAGES = "png binary"
+
+
+def page_images(pages: DataFrame, commands: DataFrame, page: list[str]) -> DataFrame:
+    """(page..., png): pages(page..., img_w, img_h, image) with the rectangles of commands(page..., x, y, w, h, r, g, b) on them.
+
+    Every page with an image comes out, also one without rectangles.  Captions
+    stay in layout_commands(): no font is part of the engine.
+    """
+    kept = pages.where("image IS NOT NULL").select(*page, "img_w", "img_h", "image")
+    schema = ", ".join(f"{c} {kept.schema[c].dataType.simpleString()}" for c in page) + ", " + IMAGES
+
+    def draw(own: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
+        drawn = [(int(b.x), int(b.y), int(b.w), int(b.h), (int(b.r), int(b.g), int(b.b))) for b in boxes.itertuples(index=False)]
+        rows = []
+        for p in own.itertuples(index=False):
+            image = np.frombuffer(p.image, dtype=np.uint8).reshape(int(p.img_h), int(p.img_w), 3)
+            rows.append((*(getattr(p, c) for c in page), png(paint(image, drawn))))
+        return pd.DataFrame(rows, columns=[*page, "png"])
+
+    return kept.groupBy(*page).cogroup(commands.select(*page, "x", "y", "w", "h", "r", "g", "b").groupBy(*page)).applyInPandas(draw, schema)
+
+
 def paint(image: np.ndarray, rectangles: list[tuple[int, int, int, int, tuple[int, int, int]]]) -> np.ndarray:
     """Hollow rectangles (x, y, w, h, colour) on a copy of an RGB image; parts outside are cut."""
     out = image.copy()

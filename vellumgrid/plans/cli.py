@@ -31,6 +31,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--page", help="'a..b', 'a..', '..b' half open and from 0, or n for the first n pages; default all")
     p.add_argument("--password")
     p.add_argument("--mode", default="Auto", choices=["Auto", "Ocr", "Pdf"])
+    p.add_argument("--debug", action="store_true", help="also write OUT.debug: the pages as PNG with their elements drawn on them")
     p.add_argument("--keep-text-as-is", action="store_true", help="no text cleaning")
     p.add_argument("--backends", help="module:function that returns the backends")
     return p.parse_args(argv)
@@ -49,6 +50,8 @@ def run(spark: SparkSession, args: argparse.Namespace, use: "pipeline.Backends |
     chars = backends.page_chars(asked, use.renderer) if args.mode != "Ocr" and hasattr(use.renderer, "chars") else None
     got = pipeline.analyze(asked, use, chars, parser)
     export.write_json(export.page_json(got.elements, got.pages, ["doc_id", "page_no"]), args.out)
+    if args.debug:
+        pipeline.debug_images(got).write.mode("overwrite").parquet(f"{args.out.rstrip('/')}.debug")
     errors = f"{args.out.rstrip('/')}.errors"
     got.errors.orderBy("doc_id", "page_no").write.mode("overwrite").json(errors)
     for r in spark.read.schema(got.errors.schema).json(errors).groupBy("error").count().orderBy(F.desc("count")).limit(20).collect():

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vellumgrid.functions import geometry as G
 from vellumgrid.functions.labels import with_label
-from vellumgrid.operators import decode, lines, merge, order, textsource, tokens
+from vellumgrid.operators import decode, draw, lines, merge, order, textsource, tokens
 from vellumgrid.operators.options import BackendMissing, DetectOptions, LayoutOptions, ParserOptions, RecognizeOptions
 from vellumgrid.sources import backends
 
@@ -55,11 +55,12 @@ class Backends:
 
 @dataclass
 class Result:
-    """elements with labels; errors by document or page; the sizes of the pages that were rendered."""
+    """elements with labels; errors by document or page; the sizes of the pages that were rendered; their images, PAGES."""
 
     elements: DataFrame
     errors: DataFrame
     pages: DataFrame
+    images: DataFrame
 
 
 def analyze(requests: DataFrame, use: Backends, chars: DataFrame | None = None, parser: ParserOptions = ParserOptions(), lay: LayoutOptions = LayoutOptions(), det: DetectOptions = DetectOptions(), rec: RecognizeOptions = RecognizeOptions()) -> Result:
@@ -98,4 +99,10 @@ def analyze(requests: DataFrame, use: Backends, chars: DataFrame | None = None,
         elements = recognized(elements, scores, characters, PAGE, parser, rec)
     size = F.lit(float(lay.input_size)).cast("float")
     sizes = pages.where("error IS NULL").select(*PAGE, "pdf_w", "pdf_h", size.alias("image_w"), size.alias("image_h"), "scale")
-    return Result(with_label(elements), errors, sizes)
+    return Result(with_label(elements), errors, sizes, pages)
+
+
+def debug_images(result: Result) -> DataFrame:
+    """(doc_id, page_no, png): the pages with their elements drawn on them."""
+    boxes = draw.layout_commands(result.elements.join(result.pages.select(*PAGE, "scale"), PAGE), PAGE)
+    return draw.page_images(result.images, boxes, PAGE)

@@ -82,9 +82,19 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_OWN: set[str] = set()
+
+
 def workspace(spark: SparkSession) -> str:
-    """This application's part of the shared folder."""
-    return f"{shared_dir(spark)}/vellumgrid/{spark.sparkContext.applicationId}"
+    """This application's part of the shared folder; it is deleted when the application ends, or by clear()."""
+    path = f"{shared_dir(spark)}/vellumgrid/{spark.sparkContext.applicationId}"
+    if path not in _OWN:
+        _OWN.add(path)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(at)  # only what is there can be marked
+        fs.deleteOnExit(at)
+    return path
 
 
 def clear(spark: SparkSession) -> None:
