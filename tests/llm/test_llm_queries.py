@@ -43,3 +43,9 @@ def test_whole_results_hold_the_cases(spark, d):
     assert {r["elem_id"] for r in repaired} == {r[0] for r in q["p3_found"](spark, d).collect()}
     judged = {r["elem_id"]: r for r in q["p4_languages"](spark, d).collect()}
     assert all(lang in {p["language"] for p in judged[k]["passages"]} and judged[k]["language_confidence"] is not None for k, lang in q["p4_found"](spark, d).collect())
+
+
+def test_settings_beyond_their_bound_are_an_error(spark):
+    assert len(Q.few(spark.range(3), 3)) == 3
+    with pytest.raises(ValueError, match="more than 2 rows of settings"):
+        Q.few(spark.range(3), 2)

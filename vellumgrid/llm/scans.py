@@ -152,16 +152,18 @@ def misreads(df: DataFrame, key: str, text: str, counts: DataFrame) -> DataFrame
     known = df.sparkSession.sparkContext.broadcast({r[0] for r in sound.collect()})
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sound = known.value
         for b in batches:
             ids, before, rare, after = [], [], [], []
             for k, t in zip(b["id"], b["t"]):
                 words = tokens(t)
-                for i, w in enumerate(words):
-                    if w not in known.value:
-                        ids.append(k)
-                        before.append(words[i - 1] if i else None)
-                        rare.append(w)
-                        after.append(words[i + 1] if i + 1 < len(words) else None)
+                odd = [i for i, w in enumerate(words) if w not in sound]
+                if odd:
+                    words.append(None)  # stands after the last word, and as [-1] before the first
+                    ids += [k] * len(odd)
+                    before += [words[i - 1] for i in odd]
+                    rare += [words[i] for i in odd]
+                    after += [words[i + 1] for i in odd]
             if ids:
                 yield pd.DataFrame({"id": ids, "before": before, "rare": rare, "after": after})
 
