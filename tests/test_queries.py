@@ -45,3 +45,13 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_the_libraries_of_the_subpackage():
+    """The core stays whole where a library that only the subpackage needs is missing."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; assert 'page_layout' in e.queries() and not [k for k in e.queries() if k.startswith('p1_')] and 'page_layout' in e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
