@@ -33,6 +33,8 @@ CLASSES = {"e": "c", "0": "o", "о": "o", "@": "a", "!": "i", "1": "i", "l": "i"
 LEAST_COUNT, LEAST_RATIO = 3, 20
 #: sound words of at least this part of all occurrences (so at most as many words) are broadcast, to spare theirs the join
 SOUND_WORDS = 20_000
+#: distinct grams a Python worker holds before it hands them to the JVM, which counts on before the shuffle
+HELD_GRAMS = 100_000
 #: a table of candidates of at most so many bytes is broadcast; a larger one is shuffled
 BROADCAST_BYTES = 32 << 20
 #: parts that the rows of one key are dealt over where a table is shuffled
@@ -109,7 +111,7 @@ def grams(df: DataFrame, text: str, scanned: str) -> DataFrame:
                 to = scan if s else clean
                 to.update(words)
                 to.update(map(" ".join, zip(words, words[1:])))
-            if len(clean) + len(scan) > 400_000:
+            if len(clean) + len(scan) > HELD_GRAMS:
                 yield out()
         if clean or scan:  # an empty frame has no types
             yield out()
