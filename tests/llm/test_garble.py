@@ -82,3 +82,13 @@ def test_column_form(spark, model):
     assert got[2] == (None, None) and got[3] == (None, "") and got[4] == (None, "plain") and got[5][0] is None
     assert got[6][1] == "Die Übersicht prüft " * 5_000
     assert G.with_repair(df.where("false"), "t", model).count() == 0
+
+
+def test_linear_in_the_text(model):
+    import time
+
+    word = G.garble("северная мастерская старая граница ", "koi8_r>cp1251")
+    for text in (word * 20 + "б " * 100_000, word * 10_000, "Ã©" * 200_000, "é" * 500_000, "\ufffd" * 300_000, "\x93" * 200_000, G.garble("старая ", "utf-8>cp1252") * 20_000):
+        began = time.time()
+        G.repair(text, model)
+        assert time.time() - began < 20

@@ -135,6 +135,10 @@ class Bayes:
         return self.weights[:, features].sum(axis=1)
 
 
+#: verdicts on runs and words of at most so many characters are remembered, 200,000 of them: longer ones hardly recur and would fill the memory
+REMEMBERED = 64
+
+
 @dataclass
 class ChainModel:
     """runs: clean and the strict chains, over runs beyond ASCII; words: clean, the 8-bit chains and the lossy ones."""
@@ -160,7 +164,8 @@ class ChainModel:
                     inner, end = run[a : len(run) - b], run[len(run) - b :] if b else ""
                     if not hit and len(inner) >= 2 and all(c in _OUTER for c in run[:a] + end):
                         hit = {name: (gain, run[:a] + fixed + end, sure) for name, (gain, fixed, sure) in self._options(inner).items()}
-            self._runs[run] = hit
+            if len(run) <= REMEMBERED:
+                self._runs[run] = hit
         return hit
 
     def _options(self, run: str) -> dict[str, tuple[float, str, bool]]:
@@ -195,7 +200,8 @@ class ChainModel:
                     gain += CONTROL_GAIN if CONTROLS.search(word) else 0.0
                     if gain > 0:
                         hit[name] = gain
-            self._words[word] = hit
+            if len(word) <= REMEMBERED:
+                self._words[word] = hit
         return hit
 
 
@@ -429,12 +435,14 @@ def _of_chain(text: str, name: str, start: int, end: int, model: ChainModel) ->
         gain = float(model.words.weights[0, grams(fixed)].mean() - model.words.weights[0, grams(word)].mean()) * len(grams(word))
         usual = (fixed.islower() or fixed.istitle()) - (word.islower() or word.istitle())
         out.append((*m.span(), gain > ((0.0 if near else OUTSIDE) - WITHIN * usual if alike else -OUTSIDE)))
-    known_, got = [x[2] for x in out], []
+    after: list[bool] = [True] * (len(out) + 1)  # of each word the verdict on the next longer one
+    for k in range(len(out) - 1, -1, -1):
+        yes = out[k][2]
+        after[k] = after[k + 1] if yes is None else yes
+    got, before = [], None
     for k, (a, b, yes) in enumerate(out):
-        if yes is None:
-            yes = next((x for x in (*known_[k - 1 : k], *known_[k + 1 :]) if x is not None), True)
-            known_[k] = yes
-        if yes:
+        before = yes if yes is not None else after[k] if before is None else before
+        if before:
             got.append((a, b))
     return got
 
@@ -461,7 +469,8 @@ def with_repair(df: DataFrame, text: str, model: ChainModel, chain: str = "chain
 
     @F.pandas_udf(T.StructType([T.StructField("c", T.StringType()), T.StructField("t", T.StringType())]))
     def run(texts: pd.Series) -> pd.DataFrame:
-        got = [(None, None) if t is None else repair(t, shared.value) for t in texts]
+        model = shared.value
+        got = [(None, None) if t is None else repair(t, model) for t in texts]
         return pd.DataFrame({"c": [g[0] for g in got], "t": [g[1] for g in got]}, dtype=object)
 
     got = df.withColumn("_g", run(beyond_ascii(F.col(text))))
