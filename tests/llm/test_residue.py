@@ -89,6 +89,8 @@ def test_subtraction_needs_many_pages_and_leaves_whole_notices(spark):
     rows = [(i, f"own words {'x' * (i + 1)}\nMade with {{engine}}", "h", i) for i in range(30)] + [(100 + i, "Error 404: gone\nThe page was not found", "g", i) for i in range(30)]
     df = spark.createDataFrame(rows, "k long, t string, s string, p long")
     assert {r["id"] for r in R.residue(df, "k", "t", "s", "p").collect()} == set(range(100, 130))
+    left = {r["id"]: (r["lines"], r["subtracted"]) for r in R.residual(df, "k", "t", "s", "p").collect()}
+    assert left == {i: (2, 1) for i in range(30)} | {100 + i: (2, 2) for i in range(30)}
     often = R.recurrent_lines(df, "k", "t", "s", "p").collect()
     assert sorted((r["n"], r["pages"]) for r in often) == [(30, 30)] * 3
 

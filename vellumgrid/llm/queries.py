@@ -212,10 +212,10 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(spread(load(spark, d, "documents").select("doc_id", "text", "source", "page_id")), "doc_id", "text", "source", "page_id").select(F.col("id").alias("doc_id"))
 
 
-def p9_recurrent(spark: SparkSession, d: str) -> DataFrame:
-    """Of each host, told by its pages: how many recurrent lines are subtracted, and on how many pages they stand in all."""
-    rows = residue.recurrent_lines(spread(load(spark, d, "documents").select("doc_id", "text", "source", "page_id")), "doc_id", "text", "source", "page_id")
-    return rows.groupBy("host", "pages").agg(F.count("*").alias("recurrent"), F.sum("n").alias("standing"), F.min("n").alias("rarest")).drop("host")
+def p9_residual(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document: its lines, and how many of them are subtracted as boilerplate of its source."""
+    rows = spread(load(spark, d, "documents").select("doc_id", "text", "source", "page_id"))
+    return residue.residual(rows, "doc_id", "text", "source", "page_id").withColumnRenamed("id", "doc_id")
 
 
 def p9_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -223,7 +223,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p6_found": p6_found, "p6_repaired": p6_repaired, "p7_assign": p7_assign, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_clean": p9_clean, "p9_recurrent": p9_recurrent, "p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_rebuilt": p5_rebuilt, "p1_canonical": p1_canonical, "p2_statistics": p2_statistics, "p3_repaired": p3_repaired, "p4_languages": p4_languages}
+    return {"p6_found": p6_found, "p6_repaired": p6_repaired, "p7_assign": p7_assign, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_clean": p9_clean, "p9_residual": p9_residual, "p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_rebuilt": p5_rebuilt, "p1_canonical": p1_canonical, "p2_statistics": p2_statistics, "p3_repaired": p3_repaired, "p4_languages": p4_languages}
 
 
 # Fixed values of the check only, apart from the operator's own tables: letters drawn like those below them, then marks.
@@ -269,13 +269,13 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL
             SELECT DISTINCT 'page', export_id FROM pdf_layouts
             WHERE list_sum(list_transform(layouts, lambda x: coalesce(length(x.text), 0))) > (SELECT max_chars FROM split_limits WHERE item_kind = 'page')""",
-        "p9_recurrent": rf"""
-            WITH d AS (SELECT coalesce(source, '') AS host, page_id, text FROM documents WHERE text <> ''),
-                 l AS (SELECT DISTINCT host, page_id, lower(trim(regexp_replace(regexp_replace(line, '[0-9]+', '0', 'g'), '\s+', ' ', 'g'))) AS line
-                       FROM (SELECT host, page_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE trim(line) <> ''),
-                 n AS (SELECT host, line, count(*) AS n FROM l GROUP BY ALL), p AS (SELECT host, count(DISTINCT page_id) AS pages FROM d GROUP BY host)
-            SELECT pages, count(*) AS recurrent, sum(n)::BIGINT AS standing, min(n) AS rarest FROM n JOIN p USING (host)
-            WHERE n >= {residue.LEAST_PAGES} AND n >= pages * {residue.LEAST_SHARE}::DOUBLE GROUP BY host, pages""",
+        "p9_residual": rf"""
+            WITH d AS (SELECT doc_id, coalesce(source, '') AS host, page_id, text FROM documents WHERE text <> ''),
+                 l AS (SELECT doc_id, host, page_id, lower(trim(regexp_replace(regexp_replace(line, '[0-9]+', '0', 'g'), '\\s+', ' ', 'g'))) AS line
+                       FROM (SELECT doc_id, host, page_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE trim(line) <> ''),
+                 n AS (SELECT host, line, count(DISTINCT page_id) AS n FROM l GROUP BY ALL), p AS (SELECT host, count(DISTINCT page_id) AS pages FROM d GROUP BY host),
+                 o AS (SELECT host, line, true AS often FROM n JOIN p USING (host) WHERE n >= {residue.LEAST_PAGES} AND n >= pages * {residue.LEAST_SHARE}::DOUBLE)
+            SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE often) AS subtracted FROM l LEFT JOIN o USING (host, line) GROUP BY doc_id""",
     "p5_rebuilt": """
             WITH i AS (SELECT DISTINCT 'element' AS item_kind, elem_id AS item_id, coalesce(text, '') AS t FROM elements
                        UNION ALL SELECT DISTINCT 'page', export_id, coalesce(array_to_string(list_transform(layouts, lambda x: coalesce(x.text, '')), ''), '') FROM pdf_layouts)

@@ -319,6 +319,11 @@ def _rows(df: DataFrame, key: str, text: str, host: str, page: str | None) -> Da
     return df.select(F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit(""))).alias("host"), F.xxhash64(place).alias("page"), F.col(text).cast("string").alias("t")).where("id IS NOT NULL AND t <> ''")
 
 
+def _hashes() -> Column:
+    """The hashes of the normalised lines of a text, null for blank ones."""
+    return F.transform(F.split("t", "\n"), lambda x: F.when(F.trim(x) != "", F.xxhash64(normal(x))))
+
+
 def recurrent_lines(df: DataFrame, key: str, text: str, host: str, page: str | None = None, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """(host, line, n, pages): hashes of the lines that stand on least_pages and least_share of a host's pages.
 
@@ -326,7 +331,7 @@ def recurrent_lines(df: DataFrame, key: str, text: str, host: str, page: str | N
     many copies the page has.  A host has at most 1 / least_share times the mean
     number of lines of its pages of such lines.
     """
-    every = F.concat(F.transform(F.split("t", "\n"), lambda x: F.when(F.trim(x) != "", F.xxhash64(normal(x)))), F.array(F.lit(0).cast("long")))
+    every = F.concat(_hashes(), F.array(F.lit(0).cast("long")))
     lines = _rows(df, key, text, host, page).select("host", "page", F.explode(F.array_distinct(every)).alias("line")).where("line IS NOT NULL")
     counts = lines.groupBy("host", "line", "page").agg(F.lit(1)).groupBy("host", "line").agg(F.count("*").alias("n")).where((F.col("n") >= least_pages) | (F.col("line") == 0))
     counts = stash(counts, "lines")
@@ -349,6 +354,20 @@ def evidence_lines(df: DataFrame, key: str, text: str, host: str, page: str | No
     return lines.select("id", "host", F.xxhash64(normal(F.col("line"))).alias("line"), "evidence")
 
 
+def _often(df: DataFrame, key: str, text: str, host: str, page: str | None, least_pages: int, least_share: float) -> DataFrame:
+    """(host, line, often = true), broadcast if it is small."""
+    often = stash(recurrent_lines(df, key, text, host, page, least_pages, least_share).select("host", "line", F.lit(True).alias("often")), "often")
+    return F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
+
+
+def residual(df: DataFrame, key: str, text: str, host: str, page: str | None = None, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+    """(id, lines, subtracted): how many lines of each text are not blank, and how many of these are boilerplate of its host.
+    Repeated rows of an id add up; texts without such a line are left out."""
+    often = _often(df, key, text, host, page, least_pages, least_share)
+    lines = _rows(df, key, text, host, page).select("id", "host", F.explode(_hashes()).alias("line")).where("line IS NOT NULL")
+    return lines.join(often, ["host", "line"], "left").groupBy("id").agg(F.count("*").alias("lines"), F.count_if("often").alias("subtracted"))
+
+
 def residue(df: DataFrame, key: str, text: str, host: str, page: str | None = None, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """(id, evidence): documents that are residue, one row each, with the kinds of evidence found.
 
@@ -356,9 +375,7 @@ def residue(df: DataFrame, key: str, text: str, host: str, page: str | None = No
     line is boilerplate by the number of pages that hold it, not of their copies.
     """
     found = stash(evidence_lines(df, key, text, host, page), "residue")
-    often = stash(recurrent_lines(df, key, text, host, page, least_pages, least_share).select("host", "line", F.lit(True).alias("often")), "often")
-    often = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
-    left = found.join(often, ["host", "line"], "left")
+    left = found.join(_often(df, key, text, host, page, least_pages, least_share), ["host", "line"], "left")
     rest = F.col("often").isNull()
     by = left.groupBy("id").agg(F.count_if(rest).alias("rest"), F.collect_set(F.when(rest, F.col("evidence"))).alias("of_rest"), F.collect_set("evidence").alias("of_all"))
     whole = F.when(F.col("rest") == 0, F.col("of_all")).otherwise(F.col("of_rest"))
