@@ -31,7 +31,8 @@ STROKES = (("m", "rri"), ("n", "ri"), ("w", "vv"), ("u", "ii"), ("d", "ci"), ("h
 CLASSES = {"e": "c", "0": "o", "о": "o", "@": "a", "!": "i", "1": "i", "l": "i", "|": "i", "+": "t", "5": "s", "6": "b", "б": "b", "9": "g", "8": "в", "3": "з", "и": "н", "п": "л", "ш": "т", "~": ""}
 #: a frequent form: so often in clean text, and so many times as often there as the rare form
 LEAST_COUNT, LEAST_RATIO = 3, 20
-#: sound words of at least this part of all occurrences (so at most as many words) are broadcast, to spare theirs the join
+#: where the rare forms are too many to broadcast, sound words of at least this part of all occurrences (so at most
+#: as many words) are, to spare theirs the join
 SOUND_WORDS = 20_000
 #: distinct grams a Python worker holds before it hands them to the JVM, which counts on before the shuffle
 HELD_GRAMS = 100_000
@@ -129,6 +130,12 @@ def confusions(counts: DataFrame) -> DataFrame:
     return pairs.select(F.col("word").alias("rare"), "form", F.col("clean").alias("rare_clean"), "form_clean")
 
 
+def _bytes(small: DataFrame) -> int:
+    """About how much memory a table takes."""
+    size = sum([F.octet_length(F.col(f.name).cast("string")) if f.dataType.simpleString() == "string" else F.lit(16) for f in small.schema.fields], F.lit(32))
+    return small.agg(F.sum(size)).first()[0] or 0
+
+
 def _meet(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """big joined with a table of candidates, kept in the shared folder, whose size decides how.
 
@@ -136,8 +143,7 @@ def _meet(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner")
     SALTS parts and big is dealt over them, since one word or line may be that of
     a third of all rows.
     """
-    size = sum([F.octet_length(F.col(f.name).cast("string")) if f.dataType.simpleString() == "string" else F.lit(16) for f in small.schema.fields], F.lit(32))
-    if (small.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES:
+    if _bytes(small) <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), keys, how)
     dealt = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
     return dealt.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "_salt"], how).drop("_salt")
@@ -146,20 +152,25 @@ def _meet(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner")
 def misreads(df: DataFrame, key: str, text: str, counts: DataFrame) -> DataFrame:
     """(id, rare, form): the misread words of scanned texts, with the form to put in their place."""
     pairs = stash(confusions(counts), "confusions")
-    words = counts.where(~F.col("gram").contains(" "))
-    total = words.agg(F.sum("n")).first()[0] or 0
-    # at most SOUND_WORDS words can each have that share of all occurrences: the set is bounded whatever the corpus
-    often = words.where(F.col("n") * SOUND_WORDS >= total).select("gram")
-    sound = often.join(pairs.select(F.col("rare").alias("gram")).distinct(), "gram", "left_anti")
-    known = df.sparkSession.sparkContext.broadcast({r[0] for r in sound.collect()})
+    rare = stash(pairs.select(F.col("rare").alias("gram")).distinct(), "rare")
+    few = _bytes(rare) <= BROADCAST_BYTES // 4
+    if few:  # only words that can be a misreading leave the workers
+        told = {r[0] for r in rare.collect()}
+    else:
+        words = counts.where(~F.col("gram").contains(" "))
+        total = words.agg(F.sum("n")).first()[0] or 0
+        # at most SOUND_WORDS words can each have that share of all occurrences: the set is bounded whatever the corpus
+        often = words.where(F.col("n") * SOUND_WORDS >= total).select("gram")
+        told = {r[0] for r in often.join(rare, "gram", "left_anti").collect()}
+    known = df.sparkSession.sparkContext.broadcast(told)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sound = known.value
+        words_told = known.value
         for b in batches:
             ids, before, rare, after = [], [], [], []
             for k, t in zip(b["id"], b["t"]):
                 words = tokens(t)
-                odd = [i for i, w in enumerate(words) if w not in sound]
+                odd = [i for i, w in enumerate(words) if (w in words_told) == few]
                 if odd:
                     words.append(None)  # stands after the last word, and as [-1] before the first
                     ids += [k] * len(odd)
